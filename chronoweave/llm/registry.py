@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash
+from . import exact_dedup, minhash, packing, tokens
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_minhash": minhash.op9_minhash,
+    "op10_token_counts": tokens.op10_token_counts,
 }
 
 ORACLES = {
