@@ -33,7 +33,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     follows starts from files that survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Snappy's direct buffers, a set for each small file, stay until a full collection.
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -61,7 +61,7 @@ class DigestIndex:
         """Add rows (digest, keep_id, group_size); run it again after a failure and
         the anti-join skips what was already committed."""
         rows = self.unseen(groups.select("digest", "keep_id", "group_size"))
-        (rows.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+        (rows.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("compression", "zstd").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
