@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash, mixing, packing, secret_scan, tokens
+from . import exact_dedup, gif, language_id, minhash, mixing, packing, secret_scan, tokens
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_media_gif": gif.op6_media_gif,
     "op7_language_id": language_id.op7_language_id,
     "op8_mixing": mixing.op8_mixing,
     "op9_minhash": minhash.op9_minhash,
