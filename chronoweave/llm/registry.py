@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, gif, language_id, minhash, mixing, packing, secret_scan, tokens
+from . import exact_dedup, gif, language_id, minhash, mixing, packing, secret_scan, tokens, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_secret_scan": secret_scan.op5_secret_scan,
