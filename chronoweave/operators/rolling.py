@@ -22,6 +22,12 @@ def _total(xs: Column, f) -> Column:
     return F.aggregate(xs, zero(), lambda t, x: t + F.coalesce(f(x), zero()))
 
 
+def _let(x: Column, f) -> Column:
+    """f of x, where x is computed once; an expression in a lambda is computed anew for
+    every element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def ts_rank(s: Series, w: int, a: Column) -> Column:
     below = F.filter(F.collect_list(a).over(s.last(w)), lambda x: x <= a)
     return full(w, F.when(a.isNotNull(), F.size(below) / F.lit(float(w))))
@@ -123,7 +129,8 @@ def ts_autocorr(s: Series, w: int, a: Column) -> Column:
     m, v = F.avg(a).over(r), F.var_pop(a).over(r)
     xs = _values(a, s, w)
     pairs = F.filter(F.zip_with(F.slice(xs, 1, w - 1), F.slice(xs, 2, w - 1), lambda x, y: (x - m) * (y - m)), lambda p: p.isNotNull())
-    return full(w, F.when(F.sqrt(v) >= EPS, ratio(ratio(_total(pairs, lambda p: p), F.size(pairs).cast("double")), v)))
+    mean = _let(pairs, lambda ps: ratio(_total(ps, lambda p: p), F.size(ps).cast("double")))
+    return full(w, F.when(F.sqrt(v) >= EPS, ratio(mean, v)))
 
 
 def ts_entropy(s: Series, w: int, a: Column) -> Column:
@@ -199,29 +206,36 @@ def ts_mutual_info(s: Series, w: int, a: Column, b: Column, bins: int = 5) -> Co
         return F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
 
     (la, ha), (lb, hb) = place(a), place(b)
-    number = lambda x, low, high: F.least(F.lit(bins - 1), F.floor(ratio((x - low) * float(bins), high - low)).cast("int"))
+
+    def number(x: Column, low: Column, high: Column) -> Column:
+        """Edges that x has reached; the last bin holds its upper end."""
+        return sum(((x >= low + F.lit(float(i)) * ((high - low) / F.lit(float(bins)))).cast("int") for i in range(1, bins)), F.lit(0))
+
     cells = F.transform(F.collect_list(F.struct(a.alias("x"), b.alias("y"))).over(r), lambda e: number(e["x"], la, ha) * bins + number(e["y"], lb, hb))
-    size = float(w)
+    every = F.sequence(F.lit(0), F.lit(bins * bins - 1))
+
+    def information(joint: Column) -> Column:
+        at = lambda i, j: F.get(joint, (i * bins + j).cast("int"))
 
-    def share(test) -> Column:
-        return F.size(F.filter(cells, test)) / F.lit(size)
+        def term(t: Column, c: Column) -> Column:
+            i, j = F.floor(c / bins), c % bins
+            left = sum((at(i, F.lit(k)) for k in range(bins)), zero())
+            right = sum((at(F.lit(k), j) for k in range(bins)), zero())
+            return t + F.when(at(i, j) > EPS, at(i, j) * F.ln(ratio(at(i, j), left * right))).otherwise(zero())
 
-    def term(t: Column, c: Column) -> Column:
-        i = c.cast("int")
-        joint = share(lambda z: z == i)
-        left, right = share(lambda z: F.floor(z / bins) == F.floor(i / bins)), share(lambda z: z % bins == i % bins)
-        return t + F.when(joint > EPS, joint * F.ln(ratio(joint, left * right))).otherwise(zero())
+        return F.aggregate(every, zero(), term)
 
-    # Only occupied cells add to the sum: at most 25, whatever the window.
-    mi = F.aggregate(F.array_distinct(cells), zero(), term)
-    return full(w, F.when(F.count_if(a.isNotNull() & b.isNotNull()).over(r) == w, mi))
+    shares = _let(cells, lambda cs: F.transform(every, lambda c: F.size(F.filter(cs, lambda z: z == c)) / F.lit(float(w))))
+    return full(w, F.when(F.count_if(a.isNotNull() & b.isNotNull()).over(r) == w, _let(shares, information)))
 
 
 def ts_granger(s: Series, w: int, a: Column, b: Column) -> Column:
     """Correlation of a with b one row earlier, over the window's w - 1 such pairs; 0 if
     one is missing."""
     r, before = s.last(w - 1), F.lag(b).over(s.ordered)
-    return full(w, F.when(F.count(a + before).over(r) == w - 1, F.corr(a, before).over(r)))
+    # Not F.corr, which raises in ANSI mode where a column is constant.
+    spread = F.stddev_pop(a).over(r) * F.stddev_pop(before).over(r)
+    return full(w, F.when(F.count(a + before).over(r) == w - 1, ratio(F.covar_pop(a, before).over(r), spread)))
 
 
 def ts_relative_strength(s: Series, w: int, a: Column, b: Column) -> Column:

@@ -54,8 +54,13 @@ def _one(call: str, key: str) -> Query:
     return run
 
 
+def _args(base: str, arity: int) -> str:
+    """Products over scaled values, which stay where rounding means something."""
+    return "mul(a, 0.015)" if base in ("cumprod", "ts_cumprod") else "a" if arity == 1 else "a, b"
+
+
 def _windows(base: str, arity: int) -> Query:
-    args = "a" if arity == 1 else "a, b"
+    args = _args(base, arity)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = series(spark, sf_dir, "event_type").with_features({f"w{w}": f"{base}_{w}({args})" for w in WINDOWS})
@@ -107,7 +112,7 @@ STATISTICAL_SQL = {
     "beta": "CASE WHEN sdb * sdb < 1e-10 THEN 0 ELSE avg((a - m) * (b - mb)) OVER {S} / (sdb * sdb) END",
     "residual": "CASE WHEN sdb * sdb < 1e-10 THEN a ELSE a - m - avg((a - m) * (b - mb)) OVER {S} / (sdb * sdb) * (b - mb) END",
     "cumsum": "sum(a) OVER {U}",
-    "cumprod": "greatest(-1e9, least(1e9, product(greatest(-1e4, least(1e4, a))) OVER {U}))",
+    "cumprod": "greatest(-1e9, least(1e9, product(a * 0.015) OVER {U}))",
     "cummax": "max(a) OVER {U}",
     "cummin": "min(a) OVER {U}",
     "pct_change": "CASE WHEN pos = 1 THEN 0 ELSE greatest(-1e9, least(1e9, (a - lag(a) OVER {O}) / (abs(lag(a) OVER {O}) + 1e-10))) END",
@@ -150,7 +155,7 @@ ROLLING_SQL: dict[str, tuple[list[str], str]] = {
     "ts_argmin": (["list(a) OVER {R}"], "CAST(list_position({i0}, list_min({i0})) - 1 AS DOUBLE)"),
     "ts_pct_change": (["lag(a, {w}) OVER {O}"], "CASE WHEN pos > {w} AND abs({i0}) > 1e-10 THEN (a - {i0}) / (abs({i0}) + 1e-10) ELSE 0 END"),
     "ts_log_return": (["lag(a, {w}) OVER {O}"], "CASE WHEN pos > {w} AND a > 1e-10 AND {i0} > 1e-10 THEN ln(greatest(a, 1e-10) / greatest({i0}, 1e-10)) ELSE 0 END"),
-    "ts_cumprod": (["product(a) OVER {R}"], "greatest(-1e9, least(1e9, {i0}))"),
+    "ts_cumprod": (["product(a * 0.015) OVER {R}"], "{i0}"),
     "ts_momentum": (["lag(a, {w}) OVER {O}"], "CASE WHEN pos > {w} AND abs({i0}) + 1e-10 > 1e-10 THEN a / (abs({i0}) + 1e-10) ELSE 0 END"),
     "ts_rsi": (["sum(greatest(d, 0)) OVER {R}", "sum(greatest(-d, 0)) OVER {R}"], "CASE WHEN pos > {w} THEN 100 * {i0} / ({i0} + {i1} + 1e-10) ELSE 0 END"),
     "ts_maxdrawdown": (["list(a) OVER {R}"], "list_max(list_transform({i0}, lambda x, i: list_max({i0}[1:i]) - x))"),
@@ -225,7 +230,7 @@ def _build() -> tuple[dict[str, Query], dict[str, str]]:
             if same in ROLLING_SQL:
                 oracles[name] = _rolling_sql(*ROLLING_SQL[same])
         else:
-            queries[name] = _one(f"{base}({'a' if op.arity == 1 else 'a, b'})", "user_id")
+            queries[name] = _one(f"{base}({_args(base, op.arity)})", "user_id")
             sql = (ARITHMETIC_SQL | STATISTICAL_SQL | CROSS_SQL).get(base) or (STATISTICAL_SQL | CROSS_SQL)[ALIASES[base]]
             oracles[name] = _whole_sql(sql)
     oracles["roll_ts_ema"] = _ema_sql()
