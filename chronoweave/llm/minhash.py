@@ -14,8 +14,9 @@ components compared, so no pair of a bucket stays untested unless it is connecte
 already, and large groups of copies never become all their pairs.
 
 Defaults: 32 bands of 4 minima; a pair at similarity 0.75 shares a bucket with
-probability 1 - 5e-6. Two bits a minimum; a pair is dropped below an estimate of
-0.5, over five standard errors under 0.75.
+probability 1 - 5e-6. The signatures are 512 minima at two bits each, computed only for
+documents that share a bucket; a pair is dropped below an estimate of 0.65, over four
+standard errors under 0.75. A pair is tested in the first bucket that it shares.
 
 Nulls and texts without words have no set: such documents are linked with nothing
 and stand alone. Fewer words than five make one shingle of the whole sequence. A
@@ -64,29 +65,31 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
 
 
 class Sketcher:
-    """Signatures of shingle sets. rows * bands minima; bits kept of each: 2."""
+    """Minima of shingle sets: bands * rows of them make keys, `packed` of them, those
+    included, give two bits each to the signature."""
 
-    def __init__(self, bands: int = 32, rows: int = 4, seed: int = 1):
+    def __init__(self, bands: int = 32, rows: int = 4, packed: int = 512, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, k = bands, rows, bands * rows
-        if k % 32:
-            raise ValueError("bands * rows must be a multiple of 32, the minima in a packed word")
-        self.a = rng.integers(0, 1 << 63, k, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, k, np.uint64)
-
-    def minima(self, s: np.ndarray) -> np.ndarray:
-        """The upper 32 bits of the smallest value of each hash function over the set."""
-        low = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
+        self.bands, self.rows = bands, rows
+        if packed % 32 or packed < bands * rows:
+            raise ValueError("packed must be a multiple of 32 (the minima in a word) and hold the bands' minima")
+        self.a = rng.integers(0, 1 << 63, packed, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.b = rng.integers(0, 1 << 63, packed, np.uint64)
+
+    def minima(self, s: np.ndarray, k: int) -> np.ndarray:
+        """The upper 32 bits of the smallest value of the first k hash functions."""
+        low = np.full(k, np.iinfo(np.uint64).max, np.uint64)
+        step = 65536 // k  # bounds the memory of very long texts
         with np.errstate(over="ignore"):
-            for i in range(0, len(s), 512):  # bounds the memory of very long texts
-                np.minimum(low, (s[i : i + 512, None] * self.a + self.b).min(axis=0), out=low)
-        return (low >> np.uint64(32)).astype(np.uint64)
+            for i in range(0, len(s), step):
+                np.minimum(low, (s[i : i + step, None] * self.a[:k] + self.b[:k]).min(axis=0), out=low)
+        return low >> np.uint64(32)
 
     def keys(self, m: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             k = np.arange(1, self.bands + 1, dtype=np.uint64) * _MUL
             for j in range(self.rows):
-                k = _mix(k * _MUL + m[j :: self.rows][: self.bands])
+                k = _mix(k * _MUL + m[: self.bands * self.rows][j :: self.rows])
         return k.view(np.int64)
 
     @staticmethod
@@ -99,28 +102,26 @@ class Sketcher:
 def _sketches(width: int, sk: Sketcher):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, keys, sig = [], [], [], []
+            n, node, keys = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, width)
                 n.append(len(s))
-                if len(s):
-                    m = sk.minima(s)
-                    node.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    keys.append(sk.keys(m))
-                    sig.append(sk.packed(m))
-                else:
-                    node.append(None), keys.append(None), sig.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "keys", "sig"])
+                node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                keys.append(sk.keys(sk.minima(s, sk.bands * sk.rows)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "keys"])
 
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, sk: Sketcher):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 c = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([shingle_set(t, width).view(np.int64) for t in c.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                sets = [shingle_set(t, width) for t in c.column(1).to_pylist()]
+                minima = [sk.minima(s, len(sk.a)) for s in sets]
+                lists = ([s.view(np.int64) for s in sets], [sk.packed(m) for m in minima], [sk.keys(m) for m in minima])
+                yield pa.RecordBatch.from_arrays([c.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["id", "shingles", "sig", "keys"])
 
     return run
 
@@ -133,63 +134,60 @@ def estimate(a: str, b: str, words: int) -> str:
 
 
 class NearDuplicates:
-    def __init__(self, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, floor: float = 0.5, seed: int = 1):
-        self.width, self.percent, self.floor = width, percent, floor
-        self.sketcher = Sketcher(bands, rows, seed)
-        self.words = bands * rows // 32
+    def __init__(self, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, packed: int = 512, floor: float = 0.65, seed: int = 1):
+        self.width, self.percent = width, percent
+        self.sketcher = Sketcher(bands, rows, packed, seed)
+        self.near = f"{estimate('su', 'sv', packed // 32)} >= {floor}"
 
-    def links(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of candidate pairs (u, v), those whose full sets reach the threshold."""
-        ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.width), "doc_id long, shingles array<long>"), "sets")
-        left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
-        both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
+        left = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
+        both = left.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
-        out = cut(both.filter(100 * shared >= self.percent * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links")
-        discard(sets)
-        return out
+        return cut(both.filter(100 * shared >= self.percent * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links")
 
     def classes(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        rows = cut(docs.mapInArrow(_sketches(self.width, self.sketcher), "doc_id long, n_shingles long, node binary, keys array<long>, sig array<long>"), "sketches")
+        rows = cut(docs.mapInArrow(_sketches(self.width, self.sketcher), "doc_id long, n_shingles long, node binary, keys array<long>"), "sketches")
         named = rows.filter("node is not null and doc_id is not null")
         folded = cut(named.groupBy("node").agg(F.min("doc_id").alias("id")), "folded")
-        reps = named.join(folded, (named["node"] == folded["node"]) & (F.col("doc_id") == F.col("id"))).select("id", "keys", "sig")
-        buckets = reps.select("id", F.explode("keys").alias("key"))
+        reps = named.join(folded, (named["node"] == folded["node"]) & (F.col("doc_id") == F.col("id"))).select("id", "keys")
+        buckets = reps.select("id", F.posexplode("keys").alias("band", "key"))
         shared = cut(buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi"), "buckets")
         members = cut(buckets.join(shared, "key"), "members")
-        sigs = cut(reps.select("id", "sig").join(members.select("id").distinct(), "id", "left_semi"), "sigs")
+        # The merge hint: texts are shuffled once, at every size of the input.
+        some = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+        sets = cut(docs.join(some, "doc_id", "left_semi").mapInArrow(_sets(self.width, self.sketcher), "id long, shingles array<long>, sig array<long>, keys array<long>"), "sets")
 
-        near = f"{estimate('su', 'sv', self.words)} >= {self.floor}"
         stars = members.filter("id <> lo").select(F.col("id").alias("u"), F.col("lo").alias("v")).union(members.filter("id <> hi").select(F.col("hi").alias("u"), F.col("id").alias("v"))).distinct()
-        stars = stars.join(sigs.select(F.col("id").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v")
-        stars = cut(stars.filter(near).select("u", "v").distinct(), "stars")
-        links = self.links(stars, docs)
+        stars = stars.join(sets.select(F.col("id").alias("u"), F.col("sig").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v")
+        stars = cut(stars.filter(self.near).select("u", "v").distinct(), "stars")
+        links = self.links(stars, sets)
         comp = cut(components(links), "components")
 
-        # Buckets that still hold more than one component: every pair across.
-        labelled = members.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        # Buckets that still hold more than one component: every pair across, once.
+        labelled = members.select("key", "band", "id").join(comp, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
         mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-        open_ = cut(labelled.join(mixed, "key", "left_semi").join(sigs, "id"), "open")
-        a = open_.select("key", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("sig").alias("su"))
-        b = open_.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("sig").alias("sv"))
-        cross = a.join(b, (a["key"] == b["key"]) & (F.col("cu") < F.col("cv")) & F.expr(near)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        open_ = cut(labelled.join(mixed, "key", "left_semi").join(sets.select("id", "sig", "keys"), "id"), "open")
+        a = open_.select("key", "band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("sig").alias("su"), F.col("keys").alias("ku"))
+        b = open_.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("sig").alias("sv"), F.col("keys").alias("kv"))
+        first = F.expr("band = 0 or not exists(sequence(0, band - 1), j -> ku[j] = kv[j])")
+        cross = a.join(b, (a["key"] == b["key"]) & (F.col("cu") < F.col("cv")) & F.expr(self.near) & first).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         cross = cut(cross.join(stars, ["u", "v"], "left_anti"), "cross")
-        old = [stars, members, sigs, shared, open_, cross]
+        old = [stars, members, shared, open_, cross, links, comp, rows, folded, sets]
         if not is_empty(cross):
-            more = self.links(cross, docs)
+            more = self.links(cross, sets)
+            old.append(more)
             if not is_empty(more):
-                new = cut(components(links.union(more)), "components")
-                old += [comp]
-                comp = new
-            old += [more]
+                comp = cut(components(links.union(more)), "components")
+                old.append(comp)
 
         label = folded.join(comp, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
         out = rows.select("doc_id", "n_shingles", "node").join(label, "node", "left")
         alone = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
         out = cut(out.select("doc_id", "n_shingles", alone.alias("component_id"), (F.col("doc_id") == alone).alias("kept")), "classes")
-        discard(*old, links, comp, rows, folded)
+        discard(*old)
         return out
 
 
