@@ -7,7 +7,7 @@ Its verdict also labels the url. All urls, labelled or not, build a tree per hos
 * runs of digits and long hexadecimal runs become ``#``;
 * level by level, a segment that few of its parent's urls share becomes ``*``;
 * templates of a host that differ in one segment only, and whose labels mostly agree, are
-  merged there, into ``+``, when each has enough labels and a two-sided test doesn't tell
+  merged there, into ``+block`` or ``+allow``, when each has enough labels and a two-sided test doesn't tell
   its share of blocked labels from the merged share;
 * a template is rejected when its smoothed share of blocked labels,
   (blocked + 1) / (labelled + 2), reaches `purity`.
@@ -80,11 +80,12 @@ class UrlFilter:
         """From (host, template, n, labelled, blocked): (host, template, merged, purity)."""
         sure = nodes.filter(F.col("labelled") >= self.min_labels)
         spots = sure.select("*", F.posexplode(F.split("template", "/")).alias("at", "segment")).filter("at > 0 and segment rlike '^[^#*]+$'")
-        mask = F.concat_ws("/", F.slice(F.split("template", "/"), F.lit(1), F.col("at")), F.lit("+"), F.expr("slice(split(template, '/'), at + 2, 100)"))
-        masked = spots.withColumn("merged", mask).withColumn("side", F.col("blocked") * 2 >= F.col("labelled"))
-        pool = masked.groupBy("host", "merged", "side").agg(F.count("*").alias("branches"), (F.sum("blocked") / F.sum("labelled")).alias("p")).filter("branches > 1")
+        spots = spots.withColumn("side", F.when(F.col("blocked") * 2 >= F.col("labelled"), "+block").otherwise("+allow"))
+        mask = F.concat_ws("/", F.slice(F.split("template", "/"), F.lit(1), F.col("at")), F.col("side"), F.expr("slice(split(template, '/'), at + 2, 100)"))
+        masked = spots.withColumn("merged", mask)
+        pool = masked.groupBy("host", "merged").agg(F.count("*").alias("branches"), (F.sum("blocked") / F.sum("labelled")).alias("p")).filter("branches > 1")
         differs = F.abs(F.col("blocked") / F.col("labelled") - F.col("p")) > self.critical * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("labelled")) + 1e-12
-        alike = masked.join(pool, ["host", "merged", "side"]).filter(~differs).groupBy("host", "template").agg(F.min("merged").alias("merged"))
+        alike = masked.join(pool, ["host", "merged"]).filter(~differs).groupBy("host", "template").agg(F.min("merged").alias("merged"))
         named = nodes.join(alike, ["host", "template"], "left").withColumn("merged", F.coalesce("merged", "template"))
         sums = named.groupBy("host", "merged").agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("purity"))
         return named.join(sums, ["host", "merged"]).select("host", "template", "merged", "purity")
