@@ -195,6 +195,24 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates().classes(table(spark, sf_dir, "documents"))
 
 
+#: All pairs by common shingles, and all that can be reached; for small tables.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 5 THEN ws ELSE ws[i : i + 4] END, ' ') AS s
+  FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+l AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id AS id, doc_id AS at FROM documents UNION SELECT r.id, l.v FROM r JOIN l ON l.u = r.at)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.at) AS component_id, d.doc_id = min(r.at) AS kept
+FROM documents d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the smallest id stays."""
     gone = NearDuplicates().classes(docs).filter("not kept").select("doc_id")

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op9_minhash": minhash.OP9_SQL,
 }

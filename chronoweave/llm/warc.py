@@ -361,3 +361,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     discard(back)
     return out
 
+
+
+#: base32 from the hexadecimal digest: five digits, 20 bits, are four characters.
+OP1_SQL = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS f FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, CAST((i // 4) * 5 + 1 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> f THEN f END AS refers_to
+FROM g
+"""
