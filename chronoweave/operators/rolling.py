@@ -1,7 +1,9 @@
 """Operators over the last w rows. A row with fewer rows behind it gives 0."""
 
-from __future__ import annotations
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -111,16 +113,29 @@ def ts_rsi(s: Series, w: int, a: Column) -> Column:
     return F.when(F.col(POS) > w, ratio(100.0 * gain, gain + loss + EPS)).otherwise(zero())
 
 
-def ts_maxdrawdown(s: Series, w: int, a: Column) -> Column:
-    """Largest fall below the running maximum; counting stops at a missing value."""
-    zero = F.struct(F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("fall"), F.lit(False).alias("done"))
+def _full_windows(x: Column, s: Series, w: int) -> Column:
+    """The values of full windows, NULL before; what Arrow-batched functions take."""
+    return F.when(F.col(POS) >= w, _values(x, s, w))
+
 
-    def step(t: Column, x: Column) -> Column:
-        done = t["done"] | x.isNull()
-        top = F.when(done, t["top"]).otherwise(F.greatest(t["top"], x))
-        return F.struct(top.alias("top"), F.when(done, t["fall"]).otherwise(F.greatest(t["fall"], top - x)).alias("fall"), done.alias("done"))
+@lru_cache(maxsize=None)
+def _drawdown_udf():
+    @F.pandas_udf("double")
+    def fall(windows: pd.Series) -> pd.Series:
+        out, some = np.zeros(len(windows)), windows.notna().to_numpy()
+        if some.any():
+            x = np.stack(windows[some].to_numpy()).astype(float)
+            low = np.maximum.accumulate(x, axis=1) - x  # missing from the first missing value on
+            out[some] = np.where(np.isnan(low), 0.0, low).max(axis=1)
+        return pd.Series(out)
 
-    return full(w, F.aggregate(_values(a, s, w), zero, step, lambda t: t["fall"]))
+    return fall
+
+
+def ts_maxdrawdown(s: Series, w: int, a: Column) -> Column:
+    """Largest fall below the running maximum; counting stops at a missing value. A fold
+    over every window, so it runs on whole batches of windows in NumPy."""
+    return full(w, _drawdown_udf()(_full_windows(a, s, w)))
 
 
 def ts_autocorr(s: Series, w: int, a: Column) -> Column:
@@ -195,38 +210,36 @@ def ts_residual(s: Series, w: int, a: Column, b: Column) -> Column:
     return F.when(F.col(POS) >= w, F.when(F.var_pop(b).over(r) < EPS, a).otherwise(rest)).otherwise(zero())
 
 
-def ts_mutual_info(s: Series, w: int, a: Column, b: Column, bins: int = 5) -> Column:
-    """In nats, over equal-width bins of the window's own range; 0 where a value is
-    missing. A constant column fills one bin."""
-    r = s.last(w)
-
-    def place(x: Column) -> tuple[Column, Column]:
-        low, high = F.min(x).over(r), F.max(x).over(r)
-        flat = low == high
-        return F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
-
-    (la, ha), (lb, hb) = place(a), place(b)
-
-    def number(x: Column, low: Column, high: Column) -> Column:
-        """Edges that x has reached; the last bin holds its upper end."""
-        return sum(((x >= low + F.lit(float(i)) * ((high - low) / F.lit(float(bins)))).cast("int") for i in range(1, bins)), F.lit(0))
+@lru_cache(maxsize=None)
+def _information_udf(bins: int):
+    def cells(x: np.ndarray) -> np.ndarray:
+        """Bin of each value: how many inner edges it has reached."""
+        low, high = x.min(axis=1, keepdims=True), x.max(axis=1, keepdims=True)
+        low, high = np.where(low == high, low - 0.5, low), np.where(low == high, high + 0.5, high)
+        return sum((x >= low + i * ((high - low) / bins)).astype(np.int64) for i in range(1, bins))
 
-    cells = F.transform(F.collect_list(F.struct(a.alias("x"), b.alias("y"))).over(r), lambda e: number(e["x"], la, ha) * bins + number(e["y"], lb, hb))
-    every = F.sequence(F.lit(0), F.lit(bins * bins - 1))
+    @F.pandas_udf("double")
+    def information(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, some = np.zeros(len(left)), (left.notna() & right.notna()).to_numpy()
+        if some.any():
+            a, b = (np.stack(x[some].to_numpy()).astype(float) for x in (left, right))
+            good = ~(np.isnan(a) | np.isnan(b)).any(axis=1)
+            a, b, n = a[good], b[good], a.shape[1]
+            at = cells(a) * bins + cells(b) + np.arange(len(a))[:, None] * bins * bins
+            p = np.bincount(at.ravel(), minlength=len(a) * bins * bins).reshape(-1, bins, bins) / n
+            apart = p.sum(axis=2, keepdims=True) * p.sum(axis=1, keepdims=True)
+            terms = p * np.log(np.where(p > EPS, p, 1.0) / np.where(p > EPS, apart, 1.0))
+            out[np.flatnonzero(some)[good]] = terms.sum(axis=(1, 2))
+        return pd.Series(out)
 
-    def information(joint: Column) -> Column:
-        at = lambda i, j: F.get(joint, (i * bins + j).cast("int"))
+    return information
 
-        def term(t: Column, c: Column) -> Column:
-            i, j = F.floor(c / bins), c % bins
-            left = sum((at(i, F.lit(k)) for k in range(bins)), zero())
-            right = sum((at(F.lit(k), j) for k in range(bins)), zero())
-            return t + F.when(at(i, j) > EPS, at(i, j) * F.ln(ratio(at(i, j), left * right))).otherwise(zero())
 
-        return F.aggregate(every, zero(), term)
-
-    shares = _let(cells, lambda cs: F.transform(every, lambda c: F.size(F.filter(cs, lambda z: z == c)) / F.lit(float(w))))
-    return full(w, F.when(F.count_if(a.isNotNull() & b.isNotNull()).over(r) == w, _let(shares, information)))
+def ts_mutual_info(s: Series, w: int, a: Column, b: Column, bins: int = 5) -> Column:
+    """In nats, over equal-width bins of the window's own range; 0 where a value is
+    missing. A constant column fills one bin. Batches of windows in NumPy, like
+    ts_maxdrawdown."""
+    return full(w, _information_udf(bins)(_full_windows(a, s, w), _full_windows(b, s, w)))
 
 
 def ts_granger(s: Series, w: int, a: Column, b: Column) -> Column:
