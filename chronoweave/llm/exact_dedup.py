@@ -134,7 +134,8 @@ def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept twin; such ids are settled by id and digest, one row each.
     """
     per_id = found.groupBy("doc_id").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n"))
-    gone = per_id.filter("n_kept = 0")
+    # The merge hint: the same plan at every size, for the ids grow with the corpus.
+    gone = per_id.filter("n_kept = 0").select("doc_id").hint("merge")
     mixed = per_id.filter("n_kept > 0 and n > n_kept")
     same = docs["doc_id"].eqNullSafe(gone["doc_id"])
     kept = docs.join(gone, same, "left_anti")
