@@ -14,8 +14,8 @@ components compared, so no pair of a bucket stays untested unless it is connecte
 already, and large groups of copies never become all their pairs.
 
 Defaults: 32 bands of 4 minima; a pair at similarity 0.75 shares a bucket with
-probability 1 - 5e-6. The signatures are 512 minima at two bits each, computed only for
-documents that share a bucket; a pair is dropped below an estimate of 0.65, over four
+probability 1 - 5e-6. The signatures are 1024 minima at two bits each, computed only for
+documents that share a bucket; a pair is dropped below an estimate of 0.675, over four
 standard errors under 0.75. A pair is tested in the first bucket that it shares.
 
 Nulls and texts without words have no set: such documents are linked with nothing
@@ -68,7 +68,7 @@ class Sketcher:
     """Minima of shingle sets: bands * rows of them make keys, `packed` of them, those
     included, give two bits each to the signature."""
 
-    def __init__(self, bands: int = 32, rows: int = 4, packed: int = 512, seed: int = 1):
+    def __init__(self, bands: int = 32, rows: int = 4, packed: int = 1024, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
         if packed % 32 or packed < bands * rows:
@@ -134,7 +134,7 @@ def estimate(a: str, b: str, words: int) -> str:
 
 
 class NearDuplicates:
-    def __init__(self, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, packed: int = 512, floor: float = 0.65, seed: int = 1):
+    def __init__(self, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, packed: int = 1024, floor: float = 0.675, seed: int = 1):
         self.width, self.percent = width, percent
         self.sketcher = Sketcher(bands, rows, packed, seed)
         self.near = f"{estimate('su', 'sv', packed // 32)} >= {floor}"
@@ -215,5 +215,5 @@ FROM documents d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GR
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the smallest id stays."""
-    gone = NearDuplicates().classes(docs).filter("not kept").select("doc_id")
+    gone = NearDuplicates().classes(docs).filter("not kept").select("doc_id").hint("merge")
     return docs.join(gone, "doc_id", "left_anti")
