@@ -175,7 +175,9 @@ class Mixture:
         segments = placed.select("*", F.explode(F.sequence(first, last)).alias("block"))
         overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)
         uses = self.slots(spark, shares).groupBy("sid", "block").agg(F.count("*").alias("uses"))
-        joined = segments.join(uses, ["sid", "block"], "left")
+        # Spark takes what Python makes from a short range for a short table and would
+        # broadcast it; it grows with the corpus.
+        joined = segments.join(uses.hint("merge"), ["sid", "block"], "left")
         taken = joined.groupBy("sid", "start", "doc_id", "size", "source_size", "target").agg(F.sum(overlap * F.coalesce("uses", F.lit(0))).alias("taken"))
         out = cut(taken.select("doc_id", "size", "source_size", "target", "taken").union(none), "mixed")
         discard(sized, sums)
@@ -195,5 +197,5 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     per = mixed.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = per.filter("size > 0").select(F.col("doc_id").alias("_cw_id"), F.floor(F.col("taken") / F.col("size") + chance).cast("int").alias("_cw_copies")).filter("_cw_copies > 0")
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_cw_id")))
+    out = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_cw_id")))
     return out.withColumn("_cw_nth", F.explode(F.sequence(F.lit(1), F.col("_cw_copies")))).select(*docs.columns)
