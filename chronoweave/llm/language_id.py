@@ -3,7 +3,11 @@
 For every language a raw-content zstandard dictionary is cut from a bounded sample of
 labelled texts. A text is encoded, chunk by chunk and whole, with each dictionary; the
 language with the smallest sum is the prediction, and the share by which the runner-up
-is larger is the score. Where that margin is narrow the prediction is rejected.
+is larger is the score. Bytes are too coarse for short texts: languages that tie in bytes
+are told apart, and scored, by bits, the ideal code length of the text by a character
+model of the same dictionaries (contexts of up to `context` bytes, each order blended with
+the one below). Where the margin is narrow the prediction is rejected, but only if the
+text is long enough for `min_margin` to be a byte or more: no text goes for being short.
 
 The sample: per language, of each of `sample_docs` hash classes of texts the one with
 the smallest hash, `sample_chars` characters of each, at most 64 * 2048 by default, lower-cased like the texts. All
@@ -11,12 +15,14 @@ else covers whole texts.
 
 Texts that are null or hold no letter give ``und`` with score 0 and are rejected, as
 is every text when nothing could be learned. Labels that are null teach nothing. A row
-with a null id is not held out and teaches nothing. Ties go to the language first in
-code point order. An empty table gives an empty result.
+with a null id is not held out and teaches nothing. Ties in bytes and bits go to the
+language first in code point order. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,8 +49,26 @@ def _compressors(dicts: tuple[tuple[str, bytes], ...], level: int, chunk: int) -
     return out
 
 
+@lru_cache(maxsize=1024)
+def _grams(data: bytes, context: int) -> list[Counter[bytes]]:
+    """How often each string of 0, 1, ... context + 1 bytes occurs in a dictionary."""
+    return [Counter({b"": len(data)}), *(Counter(data[i : i + k] for i in range(len(data) - k + 1)) for k in range(1, context + 2))]
+
+
+def _bits(data: bytes, grams: list[Counter[bytes]], prior: float = 4.0) -> float:
+    out = 0.0
+    for i in range(len(data)):
+        p = 1 / 256
+        for k in range(min(i, len(grams) - 2) + 1):
+            p = (grams[k + 1].get(data[i - k : i + 1], 0) + prior * p) / (grams[k].get(data[i - k : i], 0) + prior)
+        out -= math.log2(p)
+    return out
+
+
 class CompressionLanguageId:
-    """min_margin: below this score a prediction is rejected."""
+    """min_margin: below this score a prediction is rejected, if the text is long enough."""
+
+    context = 3
 
     def __init__(self, sample_docs: int = 64, sample_chars: int = 2048, chunk: int = 8192, level: int = 6, min_margin: float = 0.003, max_langs: int = 1000):
         self.sample_docs, self.sample_chars, self.chunk, self.level, self.min_margin, self.max_langs = sample_docs, sample_chars, chunk, level, min_margin, max_langs
@@ -73,11 +97,21 @@ class CompressionLanguageId:
         parts = [data[i : i + self.chunk] for i in range(0, len(data), self.chunk)]
         return sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in _compressors(self.dicts, self.level, self.chunk))
 
-    def guess(self, text: str | None) -> tuple[str, float]:
+    def guess(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, rejected)"""
         if not self.dicts or not text or not _LETTER.search(text):
-            return "und", 0.0
-        found = self.costs(text.lower().encode())
-        return found[0][1], 1 - found[0][0] / found[1][0] if len(found) > 1 else 1.0
+            return "und", 0.0, True
+        data = text.lower().encode()
+        found = self.costs(data)
+        if len(found) == 1:
+            return found[0][1], 1.0, False
+        (least, lang), (second, _) = found[:2]
+        score = 1 - least / second
+        if least == second:
+            by = dict(self.dicts)
+            (fewest, lang), (more, _) = sorted((_bits(data, _grams(by[name], self.context)), name) for cost, name in found if cost == least)[:2]
+            score = 1 - fewest / more
+        return lang, score, score < self.min_margin and second * self.min_margin >= 1
 
     def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, lang_pred, score, rejected) of every row, from the text alone."""
@@ -88,7 +122,7 @@ class CompressionLanguageId:
             own.__dict__.update(shared.value[1])
             for b in batches:
                 found = [own.guess(t) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == "und" or s < own.min_margin for x, s in found])], ["doc_id", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, *_ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array([r for *_, r in found], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
@@ -119,6 +153,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         own.__dict__.update(shared.value)
         for b in batches:
             found = [own.guess(t) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([x != "und" and s >= own.min_margin for x, s in found], pa.bool_()))
+            yield b.filter(pa.array([not r for *_, r in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

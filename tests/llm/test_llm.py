@@ -278,6 +278,25 @@ def test_language_id(spark):
     assert kept.schema == odd.schema and not {3, 4, 10, 11} & {r.doc_id for r in kept.collect()}
 
 
+def test_short_texts_keep_their_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = language_id._learned(docs)
+    rows = [(1000 * n + i, " ".join(r.text.split()[:n]), r.lang) for i, r in enumerate(docs.filter(language_id.held_out()).orderBy("doc_id").collect()) for n in range(1, 11)]
+    short = spark.createDataFrame([r for r in rows if any(c.isalpha() for c in r[1])], "doc_id long, text string, lang string")
+    got = learned.predict(short).join(short, "doc_id").collect()
+    assert len(got) > 2000 and not any(r.rejected for r in got)
+    for low, high, least in ((1, 3, 0.75), (4, 10, 0.9)):
+        some = [r for r in got if low <= len(r.text.split()) <= high]
+        assert sum(r.lang == r.lang_pred for r in some) / len(some) > least
+    few = docs.filter(F.size(F.split("text", " ")) <= 10)
+    kept = language_id.language_stage(spark, docs, SF)
+    assert few.count() > 0 and few.select("doc_id").exceptAll(kept.select("doc_id")).count() == 0
+    # A long text that no language explains better than another still goes.
+    same = language_id.CompressionLanguageId()
+    same.dicts = tuple((lang, words(2000, 1).encode()) for lang in ("xx", "yy"))
+    assert same.guess(words(3000, 2)) == ("xx", 0.0, True) and same.guess("abc") == ("xx", 0.0, False)
+
+
 def test_mixing(spark):
     assert mixing.targets([100, 10, 0], [1, 2, 3]) == [80.0, 30.0, 0.0]
     for n in (1, 2, 5, 64, 1000):
