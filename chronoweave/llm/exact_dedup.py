@@ -97,10 +97,25 @@ class DigestIndex:
         return out
 
 
+def dedup_halves(index: DigestIndex, docs: DataFrame) -> DataFrame:
+    """What an empty index's dedup() of ``docs`` gives, by two batches: the rows of
+    larger ids first, so that the batch that brings a text has the row that stays, then
+    the others, whose equal rows are added to the sizes of the groups they join."""
+    edge = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), 0.5)).first()[0]
+    larger = F.coalesce(F.col("doc_id").cast("long") > F.lit(edge).cast("long"), F.lit(False))
+    first, second = index.dedup(docs.filter(larger)), index.dedup(docs.filter(~larger))
+    # Of a text that the index had, no row of the batch is kept.
+    joined = second.groupBy("text_sha256").agg(F.count("*").alias("more"), F.max("kept").alias("brought")).filter("not brought").select("text_sha256", "more")
+    rows = first.union(second).join(joined.hint("merge"), "text_sha256", "left")
+    out = cut(rows.select("doc_id", "keep_id", (F.col("group_size") + F.coalesce("more", F.lit(0))).alias("group_size"), "kept", "text_sha256"), "dedup-halves")
+    discard(first, second)
+    return out
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     try:
-        return index.dedup(table(spark, sf_dir, "documents"))
+        return dedup_halves(index, table(spark, sf_dir, "documents"))
     finally:
         index.drop()
 

@@ -90,6 +90,29 @@ def test_exact_dedup(spark):
     assert {tuple(r) for r in registry.QUERIES["op4_exact_dedup"](spark, SF).collect()} == want
 
 
+def test_exact_dedup_query_meets_its_index(spark, monkeypatch):
+    met, unseen = [], exact_dedup.DigestIndex.unseen
+
+    def spy(self, groups):
+        out = unseen(self, groups)
+        if self.exists():
+            met.append((groups.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", spy)
+    docs = odd_docs(spark)
+    docs = docs.union(docs.filter("doc_id in (2, 3)").withColumn("doc_id", F.col("doc_id") + 20))  # copies in either half
+    monkeypatch.setattr(exact_dedup, "table", lambda *a: docs)
+    got = collections.Counter(map(tuple, exact_dedup.op4_exact_dedup(spark, SF).collect()))
+    assert any(0 < after < before for before, after in met)
+    index = exact_dedup.DigestIndex(spark, "digest_index_once", 4)
+    index.drop()
+    assert got == collections.Counter(map(tuple, index.dedup(docs).collect()))
+    index.drop()
+    docs = empty(spark)
+    assert exact_dedup.op4_exact_dedup(spark, SF).count() == 0
+
+
 def brute_near(rows):
     sets, link = {}, {}
     for i, t in rows:
