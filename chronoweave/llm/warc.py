@@ -4,7 +4,7 @@
 over filters on the record type and on header columns, parses a record's headers
 first, and leaves the blocks of records it doesn't want undecoded: each record is a
 gzip member that tells its own length in an extra field, so a reader seeks past it (a
-member without that field is inflated and thrown away). Files are ``.warc`` or
+member without that field is inflated, and may hold several records). Files are ``.warc`` or
 ``.warc.gz``, on any file system that pyarrow reaches (file, hdfs, s3, ...).
 
 Options: ``columns`` (comma list of COLUMNS; payload, payload_bytes and payload_sha1
@@ -157,15 +157,32 @@ class _Member:
         return data[:n]
 
     def leave(self, n: int) -> None:
-        """Past what remains: n more bytes of a plain file, or the rest of the member."""
+        """Past n more bytes, or past the member if it tells its length."""
         if self.plain:
             self.f.seek(n - len(self.ready), 1)
         elif self.length:
             self.f.seek(self.start + self.length)
         else:
-            while not self.z.eof and self.more():
+            while n > len(self.ready):
+                n -= len(self.ready)
                 self.ready = b""
-            self.f.read(8)
+                if not self.more():
+                    if n > 4:
+                        raise ValueError("truncated record")
+                    break
+            self.ready = self.ready[n:]
+
+    def rest(self) -> bool:
+        """Whether another record follows in the member; if not, the member is left."""
+        if self.length:
+            return False
+        self.ready = self.ready.lstrip(b"\r\n")
+        while not self.ready:
+            if not self.more():
+                self.f.read(8)
+                return False
+            self.ready = self.ready.lstrip(b"\r\n")
+        return True
 
 
 class WarcReader(DataSourceReader):
@@ -239,8 +256,9 @@ class WarcReader(DataSourceReader):
         end = f.seek(0, 2) or f.tell()
         f.seek(0)
         part = _Member(f, True) if plain else None
-        while f.tell() < end or plain and part.ready.strip():
-            part = part if plain else _Member(f, False)
+        more = False
+        while more or f.tell() < end or plain and part.ready.strip():
+            part = part if plain or more else _Member(f, False)
             lines = part.until(b"\r\n\r\n").decode("utf-8", "replace").strip().split("\r\n")
             head = {k.strip().lower(): urllib.parse.unquote(v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])}
             n = int(head.get("content-length", 0))
@@ -253,6 +271,8 @@ class WarcReader(DataSourceReader):
             part.leave(n + 4)
             if plain:
                 part.ready = b""
+            else:
+                more = part.rest()
             if row is not None:
                 yield row, size
 

@@ -398,6 +398,17 @@ def test_warc(spark, tmp_path):
     assert spark.read.format("warc").load(f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_members_of_several_records(spark, tmp_path):
+    import gzip
+
+    some = [warc.record({"record_id": f"<{i}>", "record_type": "response" if i % 3 else "metadata", "payload": random.Random(i).randbytes(i * 9999)}) for i in range(30)]
+    (tmp_path / "z.warc.gz").write_bytes(gzip.compress(b"".join(some[:20])) + gzip.compress(b"".join(some[20:])))
+    warc.register(spark)
+    z = spark.read.format("warc").load(f"file://{tmp_path}/z.warc.gz")
+    assert sorted(r.payload_bytes for r in z.collect()) == [i * 9999 for i in range(30)]
+    assert sorted(r.payload_bytes for r in z.filter("record_type = 'metadata'").collect()) == [i * 9999 for i in range(0, 30, 3)]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "best_fit_packing"]
