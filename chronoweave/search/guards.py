@@ -88,16 +88,22 @@ class OverfittingGuard:
 
     def _stable(self, df, features, target, keys, order) -> list[str]:
         """The range of rolling R squared within `stability_factor` sample deviations, on
-        average over series. Note that few series can pass at the default of 2."""
-        n = df.groupBy(*keys).count().agg(F.min("count")).first()[0] or 0
-        window = min(self.window, n // 3)
-        if window < 10:
-            return features
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-        last = w.rowsBetween(-(window - 1), 0)
-        r2 = df.select(*keys, F.row_number().over(w).alias("_cw_i"), *(F.coalesce(F.regr_r2(F.col(target), F.col(f)).over(last), F.lit(0.0)).alias(f) for f in features)).filter(F.col("_cw_i") >= window)
+        average over series. A series' window is a third of its rows, `window` at most;
+        series whose window is under 10 rows have no vote, and if none has, all pass. Note
+        that few series can pass at the default of 2."""
+        by = Window.partitionBy(*(keys or [F.lit(0)]))
+        size = F.least(F.lit(self.window), F.floor(F.count("*").over(by) / 3))
+        rows = df.withColumns({"_cw_i": F.row_number().over(by.orderBy(*order)), "_cw_w": size}).filter("_cw_w >= 10")
+        # Positions in units of the series' window: one frame, just short of a unit, spans
+        # each series' own number of rows.
+        unit = 4096 * self.window
+        rows = rows.withColumn("_cw_at", F.floor(F.col("_cw_i") * unit / F.col("_cw_w")))
+        last = by.orderBy("_cw_at").rangeBetween(-(unit - 2048), 0)
+        r2 = rows.select(*keys, "_cw_i", "_cw_w", *(F.coalesce(F.regr_r2(F.col(target), F.col(f)).over(last), F.lit(0.0)).alias(f) for f in features)).filter("_cw_i >= _cw_w")
         per = r2.groupBy(*keys).agg(*(((F.max(f) - F.min(f)) <= self.stability_factor * F.coalesce(F.stddev_samp(f), F.lit(0.0)) + 1e-15).cast("double").alias(f) for f in features))
-        row = per.agg(*(F.avg(f).alias(f) for f in features)).first()
+        row = per.agg(F.count("*").alias("_cw_n"), *(F.avg(f).alias(f) for f in features)).first()
+        if not row["_cw_n"] or row[features[0]] is None:
+            return features
         return [f for f in features if (row[f] or 0.0) > 0.5]
 
     def _valid(self, df, features, target, keys, order) -> list[str]:

@@ -13,7 +13,7 @@ from chronoweave.plans.compiler import SeriesFrame
 from chronoweave.plans.expression import Call, Mutator, Var, grow, grow_full, parse
 from chronoweave.search import models
 from chronoweave.search.annealing import AnnealingSchedule, FeatureSearch, ols_scorer
-from chronoweave.search.guards import OverfittingGuard, inflation_factors
+from chronoweave.search.guards import OverfittingGuard, inflation_factors, rolling_r2
 from chronoweave.search.scoring import DualScorer, Mlp, expanding_splits, mlp_scores, ols_scores
 from chronoweave.sources.datasets import DatasetLoader
 
@@ -191,6 +191,23 @@ def test_guard(signal):
     assert OverfittingGuard().filter(signal, ["f", "junk"], "y", (), ("t",)) == []  # the default rule passes few
 
 
+def test_stability_of_series_of_unequal_length(spark, signal):
+    guard = OverfittingGuard(window=60)
+    rows = signal.withColumn("s", F.when(F.col("t") < 300, "a").when(F.col("t") < 480, "b").otherwise("short"))
+    # The short series has no vote; the others have windows of 60 rows, as if alone.
+    assert guard._stable(rows, ["f", "junk"], "y", ["s"], ["t"]) == guard._stable(rows.filter("s <> 'short'"), ["f", "junk"], "y", ["s"], ["t"]) == []
+    assert guard._stable(rows.filter("s = 'short'"), ["f"], "y", ["s"], ["t"]) == ["f"]
+    # Each series by its own window, held against rolling_r2.
+    mixed = rows.withColumn("s", F.when(F.col("t") < 400, "a").when(F.col("t") < 465, "b").otherwise("c"))
+    for factor in (3.0, 4.0, 5.0, 6.0):
+        votes = []
+        for s, window in (("a", 60), ("b", 21), ("c", 11)):
+            r = [x.r2 for x in rolling_r2(mixed.filter(F.col("s") == s), "junk", "y", [], ["t"], window).collect()]
+            votes.append(max(r) - min(r) <= factor * np.std(r, ddof=1) + 1e-15)
+        got = OverfittingGuard(window=60, stability_factor=factor)._stable(mixed, ["junk"], "y", ["s"], ["t"])
+        assert got == (["junk"] if sum(votes) > 1.5 else [])
+
+
 def test_search(spark):
     s = AnnealingSchedule(1.0, 200, seed=1)
     assert s.temperature(0) == 1 and s.temperature(200) <= 0.01 and s.temperature(100) == 0.5
