@@ -13,7 +13,8 @@ from ..functions.metrics import errors
 
 
 class BoostedTrees:
-    """Gradient-boosted trees."""
+    """Gradient-boosted trees. Rows with a missing feature teach nothing, but predict()
+    returns every row: a missing feature takes the branch of large values."""
 
     def __init__(self, trees: int = 500, depth: int = 6, rate: float = 0.05, subsample: float = 0.8, columns: str = "0.8", seed: int = 42):
         self.params = {"maxIter": trees, "maxDepth": depth, "stepSize": rate, "subsamplingRate": subsample, "featureSubsetStrategy": columns, "seed": seed}
@@ -27,7 +28,7 @@ class BoostedTrees:
     def predict(self, df: DataFrame) -> DataFrame:
         if self.model is None:
             raise RuntimeError("predict before fit")
-        return self.model.transform(self.assembler.transform(df)).drop("_cw_x")
+        return self.model.transform(self.assembler.copy({self.assembler.handleInvalid: "keep"}).transform(df)).drop("_cw_x")
 
 
 class MeanBaseline:

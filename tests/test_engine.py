@@ -208,6 +208,13 @@ def test_stability_of_series_of_unequal_length(spark, signal):
         assert got == (["junk"] if sum(votes) > 1.5 else [])
 
 
+def test_trees_predict_rows_with_missing_features(spark, signal):
+    holes = signal.withColumn("f", F.when(F.col("t") % 10 == 0, None).when(F.col("t") % 10 == 1, math.nan).otherwise(F.col("f")))
+    fit = models.create("gbt", trees=3, depth=2).fit(holes, ["f"], "y")
+    got = fit.predict(holes)
+    assert got.count() == 500 and got.filter("prediction is null or isnan(prediction)").count() == 0
+
+
 def test_search(spark):
     s = AnnealingSchedule(1.0, 200, seed=1)
     assert s.temperature(0) == 1 and s.temperature(200) <= 0.01 and s.temperature(100) == 0.5
