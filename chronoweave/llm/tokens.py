@@ -3,7 +3,7 @@ encoded lengths.
 
 The ids are those of the ``tokenizers`` file. The same vocabulary also comes as
 ranks, which ``tiktoken`` encodes several times faster; a test shows both to agree
-around every code point below U+10000, so texts of these go the fast way and all
+around every seventh code point below U+10000, so texts of these go the fast way and all
 others, and texts holding the special token's string, through ``tokenizers``.
 
 A null text counts as empty.
