@@ -37,19 +37,34 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class DigestIndex:
-    """A persistent set of the digests seen so far."""
+    """A persistent set of the digests seen so far, each with the batch that brought it.
+
+    A batch has a name. If a batch fails after its digests were appended, run it again
+    under the same name: the digests are there, and its rows own them. Names must not be
+    used for other rows. ``buckets`` counts for a new index only; later on the table's
+    own number holds, whatever the session's settings are.
+    """
+
+    SCHEMA = "digest binary, keep_id long, group_size long, batch string"
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name = spark, name
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
+    @property
+    def buckets(self) -> int:
+        if not self.exists():
+            return self._buckets
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").filter("col_name = 'Num Buckets'").collect()
+        return int(rows[0]["data_type"])
+
     def read(self) -> DataFrame:
         if self.exists():
             return self.spark.table(self.name)
-        return self.spark.createDataFrame([], "digest binary, keep_id long, group_size long")
+        return self.spark.createDataFrame([], self.SCHEMA)
 
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The rows of ``groups`` whose digest the index lacks."""
@@ -57,43 +72,41 @@ class DigestIndex:
             return groups
         return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, groups: DataFrame) -> None:
-        """Add rows (digest, keep_id, group_size); run it again after a failure and
-        the anti-join skips what was already committed."""
-        rows = self.unseen(groups.select("digest", "keep_id", "group_size"))
-        (rows.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("compression", "zstd").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add the rows (digest, keep_id, group_size) that the index lacks. Run again
+        after a failure, the anti-join skips what was already committed."""
+        n = self.buckets
+        rows = self.unseen(groups.select("digest", "keep_id", "group_size")).withColumn("batch", F.lit(batch))
+        rows.repartition(n, "digest").write.mode("append").format("parquet").option("compression", "zstd").bucketBy(n, "digest").sortBy("digest").saveAsTable(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Deduplicate a batch and record it.
 
         Returns per row of the batch: doc_id, keep_id (the row that stays: an
         earlier batch's if the index has the text, else the batch's largest id),
         group_size (equal rows in the batch that first brought the text), kept,
-        text_sha256.
+        text_sha256. Without a name the batch gets one of its own and can't be resumed.
         """
+        batch = batch or uuid.uuid4().hex
         rows = cut(text_digests(docs, id_col, text_col).groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "digests")
-        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-        fresh = cut(self.unseen(groups), "unseen")
-        self.append(fresh)
-        seen = self.read().select("digest", "keep_id", "group_size")
-        # Whether this batch brought the text: only then may a row of it stay.
-        state = seen.join(fresh.select("digest", F.lit(True).alias("fresh")), "digest", "left")
-        # A digest may have very many rows; without bucketed reads both sides are
-        # exchanged, and adaptive execution can split the hot ones.
-        state = cut(state, "seen")
+        groups = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
+        self.append(groups, batch)
+        # A digest may have very many rows. What the index says about this batch is
+        # written out: between two exchanges adaptive execution can split the hot ones.
+        state = cut(self.read().join(groups.select("digest").hint("merge"), "digest", "left_semi"), "seen")
         out = rows.join(state, "digest").select(
             "doc_id",
             "keep_id",
             "group_size",
             F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth"),
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.coalesce("fresh", F.lit(False))).alias("first"),
+            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)).alias("first"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
         out = cut(out.select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("nth") == 1)).alias("kept"), "text_sha256"), "dedup")
-        discard(rows, fresh, state)
+        discard(rows, groups, state)
         return out
 
 
@@ -103,12 +116,13 @@ def dedup_halves(index: DigestIndex, docs: DataFrame) -> DataFrame:
     the others, whose equal rows are added to the sizes of the groups they join."""
     edge = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), 0.5)).first()[0]
     larger = F.coalesce(F.col("doc_id").cast("long") > F.lit(edge).cast("long"), F.lit(False))
-    first, second = index.dedup(docs.filter(larger)), index.dedup(docs.filter(~larger))
+    first, second = index.dedup(docs.filter(larger), batch="larger"), index.dedup(docs.filter(~larger), batch="smaller")
     # Of a text that the index had, no row of the batch is kept.
     joined = second.groupBy("text_sha256").agg(F.count("*").alias("more"), F.max("kept").alias("brought")).filter("not brought").select("text_sha256", "more")
+    joined = cut(joined, "joined")
     rows = first.union(second).join(joined.hint("merge"), "text_sha256", "left")
     out = cut(rows.select("doc_id", "keep_id", (F.col("group_size") + F.coalesce("more", F.lit(0))).alias("group_size"), "kept", "text_sha256"), "dedup-halves")
-    discard(first, second)
+    discard(first, second, joined)
     return out
 
 
@@ -136,7 +150,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Pipeline stage: one row of each group of equal texts stays."""
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     try:
-        found = index.dedup(docs)
+        found = dedup_halves(index, docs)
     finally:
         index.drop()
     return keep_rows(docs, found)
@@ -148,7 +162,7 @@ def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     Only the ids of dropped rows are joined. A repeated row has the same id as its
     kept twin; such ids are settled by id and digest, one row each.
     """
-    per_id = found.groupBy("doc_id").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n"))
+    per_id = cut(found.groupBy("doc_id").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n")), "per-id")
     # The merge hint: the same plan at every size, for the ids grow with the corpus.
     gone = per_id.filter("n_kept = 0").select("doc_id").hint("merge")
     mixed = per_id.filter("n_kept > 0 and n > n_kept")
