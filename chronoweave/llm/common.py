@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +30,38 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: The tables made inside each open scratch().
+_open: list[list[DataFrame]] = []
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that what
-    follows starts from files that survive lost executors."""
+    follows starts from files that survive lost executors. The table stays until
+    discard() or the end of a scratch() around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     # Snappy's direct buffers, a set for each small file, stay until a full collection.
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Collects the tables that cut() writes inside, and deletes those still listed at
+    the end; what is to stay is taken off the list."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.pop()
+        discard(*made)
+
+
 def discard(*cuts: DataFrame) -> None:
     """Delete tables that cut() wrote and that no later result reads."""
     for df in cuts:
