@@ -1,7 +1,13 @@
 """The corpus pipeline: language ID, exact and near deduplication, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read back as the next stage's documents.
+Parquet and read back as the next stage's documents. Once it is written, the table of the
+stage before and all that the stage itself wrote on the way are deleted.
+
+A null text, or one without a letter, goes in the first stage. A null id takes part in
+every stage; the near-duplicate stage links it with nothing. Rows that repeat id and text
+are one document to the second stage. Columns beyond those of documents pass through all
+stages but the last. Empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -25,5 +31,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+        with common.scratch() as made:
+            done = common.cut(stage(spark, docs, sf_dir), name)
+            made.pop()  # done itself
+        if hasattr(docs, "_cut_path"):
+            common.discard(docs)
+        docs = done
     return docs
