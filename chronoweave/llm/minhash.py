@@ -11,7 +11,9 @@ id stands for it. Within a bucket of a band, each member is first compared with
 the bucket's smallest and largest ids, and linked ones are joined into components.
 Buckets that then still hold several components have all pairs between different
 components compared, so no pair of a bucket stays untested unless it is connected
-already, and large groups of copies never become all their pairs.
+already, and large groups of copies never become all their pairs. Such a bucket is dealt
+to blocks of about `block` members, and each pair of blocks is a join key of its own, so
+that texts off one template that are not near each other don't meet in one task.
 
 Defaults: 32 bands of 4 minima; a pair at similarity 0.75 shares a bucket with
 probability 1 - 5e-6. The signatures are 1024 minima at two bits each, computed only for
@@ -134,8 +136,8 @@ def estimate(a: str, b: str, words: int) -> str:
 
 
 class NearDuplicates:
-    def __init__(self, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, packed: int = 1024, floor: float = 0.675, seed: int = 1):
-        self.width, self.percent = width, percent
+    def __init__(self, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, packed: int = 1024, floor: float = 0.675, seed: int = 1, block: int = 128):
+        self.width, self.percent, self.block = width, percent, block
         self.sketcher = Sketcher(bands, rows, packed, seed)
         self.near = f"{estimate('su', 'sv', packed // 32)} >= {floor}"
 
@@ -166,16 +168,20 @@ class NearDuplicates:
         links = self.links(stars, sets)
         comp = cut(components(links), "components")
 
-        # Buckets that still hold more than one component: every pair across, once.
+        # Buckets that still hold more than one component: every pair across, once. The
+        # members of a bucket are dealt to blocks, and a task compares two blocks.
         labelled = members.select("key", "band", "id").join(comp, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-        open_ = cut(labelled.join(mixed, "key", "left_semi").join(sets.select("id", "sig", "keys"), "id"), "open")
-        a = open_.select("key", "band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("sig").alias("su"), F.col("keys").alias("ku"))
-        b = open_.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("sig").alias("sv"), F.col("keys").alias("kv"))
+        mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 < c1")
+        mixed = cut(mixed.select("key", F.ceil(F.col("n") / self.block).alias("blocks")), "mixed")
+        open_ = cut(labelled.join(mixed, "key").join(sets.select("id", "sig", "keys"), "id"), "open")
+        own, all_ = F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.expr("sequence(0, blocks - 1)"))
+        a = open_.select("key", "band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("sig").alias("su"), F.col("keys").alias("ku"), own.alias("i"), all_.alias("j"))
+        b = open_.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("sig").alias("sv"), F.col("keys").alias("kv"), all_.alias("i"), own.alias("j"))
         first = F.expr("band = 0 or not exists(sequence(0, band - 1), j -> ku[j] = kv[j])")
-        cross = a.join(b, (a["key"] == b["key"]) & (F.col("cu") < F.col("cv")) & F.expr(self.near) & first).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        same = (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"])
+        cross = a.join(b, same & (F.col("cu") < F.col("cv")) & F.expr(self.near) & first).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         cross = cut(cross.join(stars, ["u", "v"], "left_anti"), "cross")
-        old = [stars, members, shared, open_, cross, links, comp, rows, folded, sets]
+        old = [stars, members, shared, mixed, open_, cross, links, comp, rows, folded, sets]
         if not is_empty(cross):
             more = self.links(cross, sets)
             old.append(more)

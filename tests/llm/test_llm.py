@@ -113,6 +113,42 @@ def test_exact_dedup_query_meets_its_index(spark, monkeypatch):
     assert exact_dedup.op4_exact_dedup(spark, SF).count() == 0
 
 
+def test_exact_dedup_survives_a_lost_write(spark, monkeypatch):
+    docs, write = odd_docs(spark), exact_dedup.cut
+    index = exact_dedup.DigestIndex(spark, "digest_index_lost", 4)
+    index.drop()
+
+    def fails(df, label):
+        if label == "dedup":
+            raise OSError("disk lost")
+        return write(df, label)
+
+    monkeypatch.setattr(exact_dedup, "cut", fails)
+    with pytest.raises(OSError):
+        index.dedup(docs, batch="monday")
+    monkeypatch.setattr(exact_dedup, "cut", write)
+    again = index.dedup(docs, batch="monday").collect()
+    texts = {(r.text or "").lower() for r in docs.collect()}
+    assert sum(r.kept for r in again) == len(texts) == index.read().count()
+    assert not any(r.kept for r in index.dedup(docs, batch="tuesday").collect())
+    # Another session's settings don't matter to an index that exists.
+    other = exact_dedup.DigestIndex(spark, "digest_index_lost", 7)
+    assert other.buckets == 4
+    more = spark.createDataFrame([(99, "a text of tuesday")], "doc_id long, text string")
+    assert [r.kept for r in other.dedup(more).collect()] == [True]
+    index.drop()
+
+
+def test_exact_dedup_plans_a_merge_anti_join(spark):
+    index = exact_dedup.DigestIndex(spark, "digest_index_plan", 4)
+    index.drop()
+    index.dedup(odd_docs(spark))
+    new = exact_dedup.text_digests(odd_docs(spark)).groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+    plan = index.unseen(new)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    index.drop()
+
+
 def brute_near(rows):
     sets, link = {}, {}
     for i, t in rows:
@@ -153,6 +189,40 @@ def test_minhash(spark):
     assert {r.doc_id for r in stage.collect()} == {1, 3, 4, 5, 6, 8, 9, 10, 11, None}
 
 
+def test_minhash_recall_at_the_threshold(spark):
+    """Pairs just above and just below 0.75, every pair off a text of its own."""
+    rng, rows, similar = random.Random(8), [], {}
+    for k in range(250):
+        base = words(90, 900 + k).split()
+        other, at = base[:], sorted(rng.sample(range(0, 85, 6), rng.choice((2, 2, 3))))
+        for i in at:
+            other[i] = f"changed{i}"
+        a, b = ({tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (base, other))
+        similar[2 * k] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in minhash.NearDuplicates().classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [i for i, x in similar.items() if x >= 0.75]
+    assert 40 < len(near) < 240 and min(similar[i] for i in near) < 0.8
+    assert sum(got[i + 1] == i for i in near) / len(near) >= 0.99
+    assert all(got[i + 1] == i + 1 for i in similar if i not in near)
+
+
+def test_minhash_deals_buckets_to_blocks(spark):
+    """Texts off one template, mostly not near each other, by blocks of two members."""
+    rng, template = random.Random(6), words(100, 77).split()
+    rows = []
+    for i in range(40):
+        text = template[:]
+        for at in rng.sample(range(100), rng.choice((1, 2, 4, 6))):
+            text[at] = f"slot{rng.randrange(3)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(rows)
+    assert len(set(want.values())) > 5
+    for block in (2, 128):
+        assert {r.doc_id: r.component_id for r in minhash.NearDuplicates(block=block).classes(docs).collect()} == want
+
+
 def test_estimate_follows_similarity(spark):
     sk = minhash.Sketcher()
     a = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000, np.uint64))
@@ -176,8 +246,9 @@ def test_components(spark):
     for u, v in edges:
         a, b = sorted((top(u), top(v)))
         link[b] = a
-    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame([*edges, *edges[:9], (None, 3)], "u long, v long")).collect()}
     assert got == {n: top(n) for e in edges if e[0] != e[1] for n in e}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def test_tokens(spark):
