@@ -1,14 +1,17 @@
 """Mixing sources to target weights.
 
 The words of a source, document after document, are packed into blocks of a fixed
-length. Output is a sequence of slots in shards; a slot holds a block. Each shard
+length (the last block of a source may be shorter). Output is a sequence of slots in
+shards; a slot holds a block. Each shard
 draws how many slots each source gets from a multinomial conditioned on the sources'
 totals (so these come out exactly), by splitting the range of shards in halves again
 and again with seeded hypergeometric draws: any task finds the counts of its own
 shards in logarithmically many draws and nothing is drawn in sequence. The slots of a
 source are numbered through, and a pseudorandom permutation per source and epoch (a
 Feistel network) maps slot numbers to block indices, so a source is used up before
-it repeats. Documents and slots meet in a join on source and block index.
+it repeats. Documents and slots meet in a join on source and block index: assemble()
+gives the slots with their words and the places these come from, mix() only counts how
+many words of each document the slots hold.
 
 Only per-source sums reach the driver; more than `max_sources` sources are refused.
 A document's place is found by two-level sums over hashed buckets of a source, so a
@@ -28,6 +31,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +85,24 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def shard_counts(slots: np.ndarray, shards: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def draw(rng: np.random.Generator, count: np.ndarray, n: int, most: int) -> np.ndarray:
+    """How many of n slots, drawn from `count` slots by source, each source gets.
+
+    numpy draws from totals below 10^9. The slots are dealt to strata of at most `most`
+    slots and the same make-up, and each gives its share of n; mean and variance are those
+    of one draw, but for the rounding of the strata."""
+    total, left = int(count.sum()), np.zeros_like(count)
+    strata, held, given = -(-total // most), 0, 0
+    for j in range(strata):
+        part = count * (j + 1) // strata - count * j // strata
+        held += int(part.sum())
+        upto = n * held // total
+        left += rng.multivariate_hypergeometric(part, upto - given, method="marginals")
+        given = upto
+    return left
+
+
+def shard_counts(slots: np.ndarray, shards: int, first: int, last: int, seed: int, most: int = 5 * 10**8) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, first slot of each source, slots of each source) of shards first..last-1."""
     total = int(slots.sum())
     upto = lambda s: total * s // shards
@@ -93,24 +114,51 @@ def shard_counts(slots: np.ndarray, shards: int, first: int, last: int, seed: in
             yield lo, start, count
             return
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(count, upto(mid) - upto(lo), method="marginals")
+        left = draw(np.random.default_rng([seed, lo, hi]), count, upto(mid) - upto(lo), most)
         yield from walk(lo, mid, start, left)
         yield from walk(mid, hi, start + left, count - left)
 
     yield from walk(0, shards, np.zeros_like(slots), slots)
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t.encode().split()) if t else 0 for t in b.column(2).to_pylist()], pa.int64())], ["doc_id", "source", "size"])
+def _measured(with_text: bool):
+    """(doc_id, source, size, tie) and the text if asked for. `tie` orders rows of equal id
+    and size by their texts, so that reruns agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [(t or "").encode() for t in b.column(2).to_pylist()]
+            tie = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64)
+            cols = [b.column(0), b.column(1), pa.array([len(x.split()) for x in raw], pa.int64()), pa.array(tie)]
+            names = ["doc_id", "source", "size", "tie"]
+            yield pa.RecordBatch.from_arrays([*cols, b.column(2)] if with_text else cols, [*names, "text"] if with_text else names)
+
+    return run
+
+
+def _block_words(block: int):
+    """From (doc_id, sid, start, text): the words that each document gives to each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                doc, sid, start, text = (c[i].as_py() for c in b.columns)
+                words = [w.decode() for w in text.encode().split()]
+                cuts = [0, *range(block - start % block, len(words), block), len(words)]
+                spans = list(zip(cuts, cuts[1:]))
+                cols = ([sid] * len(spans), [(start + x) // block for x, _ in spans], [(start + x) % block for x, _ in spans], [doc] * len(spans), [x for x, _ in spans], [words[x:y] for x, y in spans])
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["sid", "block", "at", "doc_id", "begin", "words"])
+
+    return run
 
 
 class Mixture:
-    """block_words: words in a block; shard_slots: slots in an output shard."""
+    """block_words: words in a block; shard_slots: slots in an output shard; draw_limit:
+    the largest total of one draw, see draw()."""
 
-    def __init__(self, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, block_words: int = 64, shard_slots: int = 4096, seed: int = 7, max_sources: int = 100_000):
-        self.weights, self.most, self.block, self.shard_slots, self.seed, self.max_sources = weights, most, block_words, shard_slots, seed, max_sources
+    def __init__(self, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, block_words: int = 64, shard_slots: int = 4096, seed: int = 7, max_sources: int = 100_000, draw_limit: int = 5 * 10**8):
+        self.weights, self.most, self.block, self.shard_slots, self.seed, self.max_sources, self.draw_limit = weights, most, block_words, shard_slots, seed, max_sources, draw_limit
 
     def shares(self, sized: DataFrame) -> list[Share]:
         rows = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).limit(self.max_sources + 1).collect()
@@ -118,9 +166,6 @@ class Mixture:
             raise ValueError(f"more than {self.max_sources} sources")
         rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         goal = targets([r["words"] for r in rows], [self.weights[i % len(self.weights)] for i in range(len(rows))], self.most) if rows else []
-        # numpy's hypergeometric draws take totals below 10^9
-        while sum(r["words"] for r in rows) // self.block > 5 * 10**8:
-            self.block *= 2
         out = []
         for i, (r, t) in enumerate(zip(rows, goal)):
             n = -(-r["words"] // self.block)
@@ -134,11 +179,11 @@ class Mixture:
         counts = np.array([s.slots for s in shares], np.int64)
         blocks = np.array([s.blocks for s in shares], np.int64)
         shards = max(1, math.ceil(int(counts.sum()) / self.shard_slots))
-        seed = self.seed
+        seed, limit = self.seed, self.draw_limit
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for shard, start, n in shard_counts(counts, shards, int(pdf.id.min()), int(pdf.id.max()) + 1, seed):
+                for shard, start, n in shard_counts(counts, shards, int(pdf.id.min()), int(pdf.id.max()) + 1, seed, limit):
                     parts = []
                     for i in np.flatnonzero(n):
                         k = start[i] + np.arange(n[i])
@@ -153,28 +198,43 @@ class Mixture:
         wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return spark.range(0, shards, 1, max(1, min(shards, wide))).mapInPandas(run, "shard long, place long, sid int, epoch long, block long")
 
-    def mix(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-        """(doc_id, size, source_size, target, taken) of every row."""
-        spark = docs.sparkSession
-        sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).mapInArrow(_sizes, "doc_id long, source string, size long"), "sizes")
-        shares = self.shares(sized)
+    def _sized(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, with_text: bool) -> DataFrame:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+        return cut(rows.mapInArrow(_measured(with_text), "doc_id long, source string, size long, tie long" + ", text string" * with_text), "sizes")
+
+    @staticmethod
+    def _known(sized: DataFrame, shares: list[Share]) -> DataFrame:
+        """Rows with their source's number, size and target."""
         schema = "sid int, source string, source_size long, docs long, target double, blocks long, slots long"
-        dim = F.broadcast(spark.createDataFrame(shares, schema))  # at most max_sources rows
-        known = sized.join(dim, sized["source"].eqNullSafe(dim["source"])).select("doc_id", "size", "sid", "source_size", "target", "docs")
-        none = known.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        dim = F.broadcast(sized.sparkSession.createDataFrame(shares, schema))  # at most max_sources rows
+        return sized.join(dim, sized["source"].eqNullSafe(dim["source"])).drop(dim["source"]).drop("blocks", "slots")
+
+    @staticmethod
+    def _placed(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Add `start`, the words of the source before the document's; and the table of
+        bucket sums that it rests on. Documents without words have no place."""
         # Buckets of about sqrt(documents) rows, 512 at least.
         rows = F.greatest(F.lit(512), F.sqrt("docs"))
         some = known.filter("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("docs") / rows)))
         sums = cut(some.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), "bucket-sums")
         earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         base = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-        inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        placed = some.withColumn("upto", F.sum("size").over(inside)).join(base, ["sid", "bucket"]).select("doc_id", "size", "sid", "source_size", "target", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
+        inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+        placed = some.withColumn("upto", F.sum("size").over(inside)).join(base, ["sid", "bucket"])
+        return placed.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("bucket", "upto", "base", "tie", "docs"), sums
+
+    def mix(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        """(doc_id, size, source_size, target, taken) of every row."""
+        sized = self._sized(docs, id_col, text_col, source_col, False)
+        shares = self.shares(sized)
+        known = self._known(sized, shares)
+        none = known.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        placed, sums = self._placed(known)
         b = F.lit(self.block)
         first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
-        segments = placed.select("*", F.explode(F.sequence(first, last)).alias("block"))
+        segments = placed.select("doc_id", "size", "sid", "source_size", "target", "start", F.explode(F.sequence(first, last)).alias("block"))
         overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)
-        uses = self.slots(spark, shares).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+        uses = self.slots(docs.sparkSession, shares).groupBy("sid", "block").agg(F.count("*").alias("uses"))
         # Spark takes what Python makes from a short range for a short table and would
         # broadcast it; it grows with the corpus.
         joined = segments.join(uses.hint("merge"), ["sid", "block"], "left")
@@ -183,6 +243,24 @@ class Mixture:
         discard(sized, sums)
         return out
 
+    def assemble(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        """The mix itself, one row per slot: shard, place, source, epoch, block, words, and
+        pieces (doc_id, begin, length), the documents' words that make up the block. Blocks
+        of a shard follow each other by `place`; write it by
+        ``.repartition(n, "shard").sortWithinPartitions("shard", "place")``."""
+        sized = self._sized(docs, id_col, text_col, source_col, True)
+        shares = self.shares(sized)
+        placed, sums = self._placed(self._known(sized, shares))
+        parts = placed.select("doc_id", "sid", "start", "text").mapInArrow(_block_words(self.block), "sid int, block long, at long, doc_id long, begin long, words array<string>")
+        # A block holds at most block_words pieces.
+        blocks = parts.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "begin", "words"))).alias("parts"))
+        names = F.broadcast(docs.sparkSession.createDataFrame([(s.sid, s.source) for s in shares], "sid int, source string"))  # at most max_sources rows
+        rows = self.slots(docs.sparkSession, shares).join(blocks.hint("merge"), ["sid", "block"]).join(names, "sid")
+        pieces = F.transform("parts", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["begin"].alias("begin"), F.size(x["words"]).cast("long").alias("length")))
+        out = cut(rows.select("shard", "place", "source", "epoch", "block", F.flatten(F.transform("parts", lambda x: x["words"])).alias("words"), pieces.alias("pieces")), "assembled")
+        discard(sized, sums)
+        return out
+
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mixture().mix(table(spark, sf_dir, "documents"))

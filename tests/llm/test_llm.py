@@ -421,6 +421,50 @@ def test_mixing(spark):
     assert stage.columns == docs.columns
 
 
+def test_mixing_assembles_its_blocks(spark):
+    docs = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame([(100 + i, words(1 + i % 90, i), "en", "abc"[i % 3], 0) for i in range(300)], DOCS))
+    mixed = mixing.Mixture(block_words=16, shard_slots=50)
+    rows = mixed.assemble(docs).collect()
+    text = collections.defaultdict(list)
+    for r in docs.collect():
+        text[r.doc_id].append(((r.text or "").encode().split(), r.source))
+    taken, used, last = collections.Counter(), collections.Counter(), {}
+    for r in rows:
+        assert len(r.words) == sum(p.length for p in r.pieces) <= 16
+        last[r.source] = max(last.get(r.source, 0), r.block)
+        used[r.source, r.block, r.epoch] += 1
+        at = 0
+        for p in r.pieces:
+            assert any([w.encode() for w in r.words[at : at + p.length]] == w[p.begin : p.begin + p.length] and s == r.source for w, s in text[p.doc_id])
+            taken[p.doc_id] += p.length
+            at += p.length
+    assert all(len(r.words) == 16 for r in rows if r.block < last[r.source]) and max(used.values()) == 1
+    shards = collections.defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r.place)
+    assert len(shards) > 5 and all(sorted(p) == list(range(len(p))) and 49 <= len(p) <= 51 for p in shards.values())
+    want = collections.Counter()
+    for r in mixed.mix(docs).collect():
+        want[r.doc_id] += r.taken
+    assert taken == +want
+    assert mixing.Mixture().assemble(empty(spark)).count() == 0
+
+
+def test_mixing_draws_in_strata():
+    """A low limit of a draw changes neither the blocks nor the sources' totals."""
+    slots, rng = np.array([5000, 3, 0, 17000]), np.random.default_rng(5)
+    one, many = (list(mixing.shard_counts(slots, 23, 0, 23, 1, most)) for most in (10**8, 700))
+    for a in (one, many):
+        assert sum(c for *_, c in a).tolist() == slots.tolist() and {22003 // 23, 22003 // 23 + 1} >= {int(c.sum()) for *_, c in a}
+    drawn = np.array([[mixing.draw(rng, slots, 2000, most)[0] for _ in range(400)] for most in (10**8, 700)])
+    assert abs(drawn.mean(axis=1) - 2000 * 5000 / 22003).max() < 4 and 0.7 < drawn[0].std() / drawn[1].std() < 1.4
+    huge = np.array([10**12, 3 * 10**12])
+    left = mixing.draw(rng, huge, 10**12, 5 * 10**8)
+    assert left.sum() == 10**12 and abs(left[0] / 10**12 - 0.25) < 1e-5
+    low, high = mixing.Mixture(draw_limit=50), mixing.Mixture()
+    assert low.block == high.block == 64
+
+
 def test_urls(spark):
     urls = [None, "nope", "HTTP://EXAMPLE.com/en/7?x", "http://sub.example.com/en/8", "a://b://c/d", "http://x.org", "http://ÀB.org/es/" + "a/" * 50, "http://net/de/1", "http://example.net/de/88#f", "http://notnet/de/1", "x://com/en"]
     df = spark.createDataFrame([(i, u, "c", "c", "c") for i, u in enumerate(urls)] + [(None, "http://y.com/fr/1", "c", "c", "c")], "page_id long, url string, host string, path string, n string")
