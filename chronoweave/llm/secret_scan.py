@@ -9,12 +9,13 @@ and no base span overlaps it.
 Training samples come from the documents: the values that base patterns caught are
 labelled random, words of texts without a base span ordinary. Per label at most
 `sample` hash classes give one value (random) or `sample_chars` characters of one text
-(ordinary), the one with the smallest hash. Counts are smoothed with one for every
+(ordinary), the one with the smallest hash. That bounds the training and nothing else. Counts are smoothed with one for every
 pair of symbols, so that without samples both models are uniform and add nothing.
 
 Offsets are code points, end exclusive. A null text counts as empty, and an empty text
-has no spans. Rows that repeat are scanned each for itself. An empty table gives an
-empty result.
+has no spans. Time grows with the length of a text and, by a logarithm, with its spans.
+Rows that repeat are scanned each for itself. Columns other than the two named are never
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,19 +35,30 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 
+#: Matches whose positions are summed up in one array.
+CHUNK = 512
+
 _SPAN = "array<struct<s:int,r:int,e:int,v:string>>"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def _hits(text: str, pattern: str, rank: int) -> str:
-    """SQL: every match of ``pattern`` as (start, rank, end, value); what lies between
-    matches comes from split(), so that lengths add up to positions."""
-    return f"""aggregate(
-      arrays_zip(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0)),
-      named_struct('p', 0, 'out', cast(array() as {_SPAN})),
-      (a, x) -> named_struct(
-        'p', a.p + length(x.`0`) + coalesce(length(x.`1`), 0),
-        'out', if(x.`1` is null, a.out, concat(a.out, array(named_struct('s', a.p + length(x.`0`), 'r', {rank}, 'e', a.p + length(x.`0`) + length(x.`1`), 'v', x.`1`))))),
-      a -> a.out)"""
+    """SQL: every match of ``pattern`` as (start, rank, end, value). What lies between
+    matches comes from split(), so that running sums of lengths are positions. The sums run
+    within chunks of matches and over chunks: appending to one array copies it each time,
+    which would make a text of very many matches quadratic."""
+    zipped = f"arrays_zip(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0))"
+    steps = "transform(z, x -> length(x.`0`) + coalesce(length(x.`1`), 0))"
+    chunks = f"transform(sequence(0, (size(z) - 1) div {CHUNK}), k -> slice(steps, k * {CHUNK} + 1, {CHUNK}))"
+    running = "aggregate(slice({0}, 1, size({0}) - 1), array({1}), (sums, n) -> concat(sums, array(element_at(sums, -1) + {2})))"
+    bases = running.format("chunks", "0", "aggregate(n, 0, (t, y) -> t + y)")
+    starts = "flatten(zip_with(chunks, bases, (c, base) -> " + running.format("c", "base", "n") + "))"
+    found = f"filter(transform(z, (x, i) -> if(x.`1` is null, null, named_struct('s', starts[i] + length(x.`0`), 'r', {rank}, 'e', starts[i] + length(x.`0`) + length(x.`1`), 'v', x.`1`))), x -> x is not null)"
+    return f"cast({_let(zipped, 'z', _let(steps, 'steps', _let(chunks, 'chunks', _let(bases, 'bases', _let(starts, 'starts', found)))))} as {_SPAN})"
 
 
 def _guarded(text: str, pattern: str, rank: int) -> str:
@@ -64,6 +76,20 @@ def _joined(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat_ws(':', element_at(array({names}), x.r + 1), cast(x.s as string), cast(x.e as string))), ',')"
 
 
+def _neighbours(value: str, body: str) -> str:
+    """SQL: ``body`` of every two neighbouring characters x and y. The string is split
+    once; taking characters by number walks UTF-8 from the start each time."""
+    return _let(f"split({value}, '')", "chars", f"zip_with(slice(chars, 1, size(chars) - 1), slice(chars, 2, size(chars) - 1), (x, y) -> {body})")
+
+
+def _meets(spans: str) -> str:
+    """SQL: whether run x overlaps one of ``spans``, which are in order and apart: the last
+    that starts before x's end, found by halving steps, must not end after x's start."""
+    steps = f"transform(sequence(length(bin(size({spans}))), 0, -1), k -> shiftleft(1, k))"
+    last = f"aggregate({steps}, 0, (at, step) -> if(at + step <= size({spans}) and get({spans}, at + step - 1).s < x.e, at + step, at))"
+    return f"coalesce(get({spans}, {last} - 1).e > x.s, false)"
+
+
 class SecretScanner:
     def __init__(self, min_length: int = 20, min_ratio: float = 0.7, sample: int = 512, sample_chars: int = 4096):
         self.min_length, self.min_ratio, self.sample, self.sample_chars = min_length, min_ratio, sample, sample_chars
@@ -73,7 +99,7 @@ class SecretScanner:
     @staticmethod
     def _pairs(strings: DataFrame) -> dict[tuple[int, int], int]:
         """Counts of neighbouring characters, by code less 32; at most 95 * 95 rows."""
-        one = strings.select("v", F.explode(F.expr("sequence(1, length(v) - 1)")).alias("i")).select(F.ascii(F.expr("substr(v, i, 1)")).alias("a"), F.ascii(F.expr("substr(v, i + 1, 1)")).alias("b"))
+        one = strings.select(F.explode(F.expr(_neighbours("v", "struct(ascii(x) as a, ascii(y) as b)"))).alias("p")).select("p.a", "p.b")
         ok = one.filter("a between 32 and 126 and b between 32 and 126")
         return {(r["a"] - 32, r["b"] - 32): r["n"] for r in ok.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
 
@@ -93,7 +119,8 @@ class SecretScanner:
     def fit(self, docs: DataFrame, scanned: DataFrame, text_col: str = "text") -> SecretScanner:
         """Train from documents and what base_spans() found in them (column base)."""
         found = scanned.filter("size(base) > 0").select(F.explode("base").alias("x")).select(F.expr(f"if(x.r = 0, regexp_extract(x.v, r'{ASSIGN}', 1), x.v)").alias("v"))
-        random = found.filter("length(v) >= 12").groupBy(F.pmod(F.xxhash64("v"), F.lit(self.sample))).agg(F.min("v").alias("v"))
+        hashed = found.filter("length(v) >= 12").withColumn("h", F.xxhash64("v"))
+        random = hashed.groupBy(F.pmod("h", F.lit(self.sample))).agg(F.min_by("v", "h").alias("v"))
         text = docs.select(F.col(text_col).alias("text")).filter("text is not null").withColumn("h", F.xxhash64("text"))
         least = text.groupBy(F.pmod("h", F.lit(self.sample))).agg(F.min("h").alias("h"))
         chosen = [r["h"] for r in least.collect()]  # at most `sample` rows
@@ -104,7 +131,8 @@ class SecretScanner:
     def ratio(self, value: str) -> str:
         """SQL: the log-likelihood ratio of a string of key characters, a character."""
         table_ = "cast(split('" + ",".join(map(str, self.ratios)) + "', ',') as array<double>)"
-        return f"aggregate(sequence(1, length({value}) - 1), 0D, (p, i) -> p + element_at({table_}, (ascii(substr({value}, i, 1)) - 32) * 95 + ascii(substr({value}, i + 1, 1)) - 31)) / (length({value}) - 1)"
+        gains = _neighbours(value, f"element_at({table_}, (ascii(x) - 32) * 95 + ascii(y) - 31)")
+        return f"aggregate({gains}, 0D, (p, g) -> p + g) / (length({value}) - 1)"
 
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, base, added): base spans and those of the Markov models."""
@@ -113,8 +141,13 @@ class SecretScanner:
         found = cut(text.select("doc_id", base_spans("text").alias("base"), F.expr(_guarded("text", self.pattern, 3)).alias("runs")), "secret-candidates")
         if self.ratios is None:
             self.fit(docs, found, text_col)
-        apart = "filter(runs, x -> not exists(base, y -> x.s < y.e and y.s < x.e))"
-        runs = found.select("doc_id", "base", F.expr(apart).alias("runs"))
+        # Spans of one kind lie apart, those of different kinds may overlap.
+        kinds = [f"filter(base, y -> y.r = {r})" for r in range(3)]
+        meets = " or ".join(_meets(f"k{r}") for r in range(3))
+        apart = f"filter(runs, x -> not ({meets}))"
+        for r in range(3):
+            apart = _let(kinds[r], f"k{r}", apart)
+        runs = found.select("doc_id", "base", F.expr(f"if(size(runs) = 0 or size(base) = 0, runs, {apart})").alias("runs"))
         out = runs.select("doc_id", "base", F.expr(f"filter(runs, x -> {self.ratio('x.v')} >= {self.min_ratio})").alias("added"))
         out = cut(out, "secrets")
         discard(found)

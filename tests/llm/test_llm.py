@@ -321,6 +321,59 @@ def test_secrets(spark):
     assert secret_scan.SecretScanner().scan(empty(spark)).count() == 0
 
 
+def markov_ratio(scanner, v):
+    return sum(scanner.ratios[(ord(a) - 32) * 95 + ord(b) - 32] for a, b in zip(v, v[1:])) / (len(v) - 1)
+
+
+def test_secrets_of_documents_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scanner = secret_scan.SecretScanner()
+    got = {r.doc_id: r for r in scanner.scan(docs).collect()}
+    run = re.compile("[A-Za-z0-9+/=_-]{20,}")
+    for r in docs.collect():
+        base = [(x.s, x.e) for x in got[r.doc_id].base]
+        free = [m for m in run.finditer(r.text or "") if not any(s < m.end() and m.start() < e for s, e in base)]
+        want = [(m.start(), m.end(), m[0]) for m in free if markov_ratio(scanner, m[0]) >= scanner.min_ratio]
+        assert [(x.s, x.e, x.v) for x in got[r.doc_id].added] == want
+
+
+def test_secrets_precision_and_recall(spark):
+    """Models of the sf0.01 documents: random keys that no base pattern fits, and names made
+    of the documents' own words, none of either seen in training."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scanner = secret_scan.SecretScanner()
+    scanner.scan(docs).count()
+    rng = random.Random(11)
+    plain = sorted({w for r in docs.limit(200).collect() for w in re.findall("[A-Za-z]{4,}", r.text or "")})
+    names = ["_".join(rng.sample(plain, 5)) for _ in range(500)] + ["".join(w.capitalize() for w in rng.sample(plain, 5)) for _ in range(500)]
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(rng.randint(20, 44))) for _ in range(1000)]
+    rows = [(i, f"see {v} there") for i, v in enumerate(names + keys)]
+    found = {r.doc_id for r in scanner.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(added) > 0").collect()}
+    caught, wrong = sum(i >= 1000 for i in found), sum(i < 1000 for i in found)
+    print("recall", caught / 1000, "precision", caught / (caught + wrong))
+    assert caught / 1000 > 0.9 and caught / (caught + wrong) > 0.95
+
+
+def test_secrets_in_very_long_texts(spark):
+    """A run of a million characters, and thousands of matches and runs of either kind."""
+    import time
+
+    rng = random.Random(2)
+    many = " ".join(f"token={rng.getrandbits(40):010x} {rng.getrandbits(120):030x} AKIA{'B' * 20}" for _ in range(5000))
+    runs = " ".join("x" * 25 if i % 2 else "AKIA" + "C" * 30 for i in range(8000))
+    texts = ["Qz7" * 350_000, many, runs]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    scanner = secret_scan.SecretScanner()
+    scanner.train(spark.createDataFrame([("Qz7" * 50,)], "v string"), spark.createDataFrame([("x" * 99,)], "v string"))
+    began = time.time()
+    got = {r.doc_id: r for r in scanner.scan(docs).selectExpr("doc_id", "size(base) as n", "size(added) as m", "try_element_at(base, -1) as last", "try_element_at(added, -1) as tail").collect()}
+    print("seconds", time.time() - began)
+    assert time.time() - began < 60
+    assert (got[0].n, got[0].m, got[0].tail.e) == (0, 1, 1_050_000)
+    assert got[1].n >= 14_900 and got[1].last.e == len(many)
+    assert (got[2].n, got[2].m) == (4000, 0) and got[2].last.e < len(runs)
+
+
 def test_gif():
     rng = np.random.default_rng(0)
     for n in (0, 1, 255, 3838, 3839, 3840, 9000):
