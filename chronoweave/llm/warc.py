@@ -5,19 +5,24 @@ over filters on the record type and on header columns, parses a record's headers
 first, and leaves the blocks of records it doesn't want undecoded: each record is a
 gzip member that tells its own length in an extra field, so a reader seeks past it (a
 member without that field is inflated, and may hold several records). Files are ``.warc`` or
-``.warc.gz``, on any file system that pyarrow reaches (file, hdfs, s3, ...).
+``.warc.gz``, on any file system that pyarrow reaches (file, hdfs, s3, ...); archives in a
+store that only Hadoop knows are read by ``through_spark()``.
 
 Options: ``columns`` (comma list of COLUMNS; payload, payload_bytes and payload_sha1
-are decoded only if named), ``partition_bytes``.
+are decoded only if named); ``partition_bytes``, the most bytes of a partition, and
+``min_partitions``, for which partitions get smaller, but not below 4 MB; ``mode``,
+``failfast`` (a broken record fails the read) or ``permissive`` (what can't be read up to the
+next record gives one row in which only ``corrupt`` is set, with file, offset and reason).
 
 ``df.write.format("warc").save(folder)`` writes the columns record_id, record_type,
 target_uri, warc_date, payload_sha1, refers_to and payload (others are ignored). Files
 count once the job's manifest names them, so attempts that were lost leave nothing to
-read.
+read. The manifest also marks record starts inside files, where a reader may split them.
 
-Null headers are left out and read back as null; a null payload is an empty one. Header
-values with control characters are percent-encoded. A folder without archives is an
-empty table. Records that repeat are all kept.
+Null headers are left out and read back as null; a null payload is an empty one. Headers
+are written as they are, but for those with control characters: these are percent-encoded,
+and a header of our own names them, so that others' headers are never decoded. A folder
+without archives is an empty table. Records that repeat are all kept.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from .common import cut, discard, shared_dir, table
+from .common import cut, discard, scratch, shared_dir, table
 
 #: Column, type, and the header it comes from.
 COLUMNS = {
@@ -54,6 +59,7 @@ COLUMNS = {
     "payload_bytes": ("long", None),
     "payload_sha1": ("string", None),
     "payload": ("binary", None),
+    "corrupt": ("string", None),
 }
 _CODED = ("payload_bytes", "payload_sha1", "payload")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -63,8 +69,14 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+#: Names the headers of a record whose values are percent-encoded.
+_ENCODED = "X-Percent-Encoded"
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]|^\s|\s$")
+
+
 def _value(s: str) -> str:
-    return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", s)
+    """Percent-encoded if it can't stand in a header as it is."""
+    return re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", s) if _CONTROL.search(s) else s
 
 
 def _member(data: bytes, level: int = 6) -> bytes:
@@ -83,18 +95,24 @@ def record(row: dict[str, Any]) -> bytes:
     block = http if kind == "revisit" else http + payload
     sha = row.get("payload_sha1") or base32_sha1(payload)
     heads = [("WARC-Type", kind), ("WARC-Record-ID", row.get("record_id")), ("WARC-Date", row.get("warc_date")), ("WARC-Target-URI", row.get("target_uri")), ("WARC-Payload-Digest", f"sha1:{sha}"), ("WARC-Refers-To", row.get("refers_to")), ("WARC-Profile", _PROFILE if kind == "revisit" else None), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    coded = [k for k, v in heads if v is not None and v != _value(v)]
+    heads.append((_ENCODED, ", ".join(coded) or None))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {_value(v)}\r\n" for k, v in heads if v is not None) + "\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
 
 @dataclass
 class _Files(InputPartition):
-    names: list[str]
+    """Parts of files, from a record's start to the next part's or to the end (None)."""
+
+    parts: list[tuple[str, int, int | None]]
 
 
 @dataclass
 class _Wrote(WriterCommitMessage):
-    names: list[str]
+    """Starts of parts by file."""
+
+    marks: dict[str, list[int]]
 
 
 class _Member:
@@ -185,10 +203,24 @@ class _Member:
         return True
 
 
+def _next_record(f: BinaryIO, start: int, end: int, mark: bytes) -> int:
+    """Where `mark` next occurs in a part of a file, or the part's end."""
+    f.seek(start)
+    held, at = b"", start
+    while at < end and (data := f.read(1 << 20)):
+        held += data
+        if (i := held.find(mark)) >= 0:
+            return min(at + i, end)
+        at += len(held) - len(mark) + 1
+        held = held[-len(mark) + 1 :]
+    return end
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str], names: list[str]):
         self.path, self.names = options["path"], names
-        self.partition_bytes = int(options.get("partition_bytes", 128 << 20))
+        self.partition_bytes, self.min_partitions = int(options.get("partition_bytes", 128 << 20)), int(options.get("min_partitions", 1))
+        self.permissive = options.get("mode", "failfast").lower() == "permissive"
         self.wanted: list[tuple[str, str, Any]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -212,16 +244,19 @@ class WarcReader(DataSourceReader):
         found = {f.path: f.size for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)) if f.is_file} if store.get_file_info(root).type != fs.FileType.File else {root: 0}
         lists = [p for p in found if re.search(r"/_manifest-[^/]*\.json$", p)]
         if lists:
-            names = [f"{root}/{n}" for p in lists for n in json.loads(store.open_input_stream(p).read())]
+            marks = {f"{root}/{n}": at for p in lists for n, at in json.loads(store.open_input_stream(p).read()).items()}
         else:
-            names = [p for p in found if re.search(r"\.warc(\.gz)?$", p)]
+            marks = {p: [0] for p in found if re.search(r"\.warc(\.gz)?$", p)}
+        most = min(self.partition_bytes, max(4 << 20, sum(found[n] for n in marks) // self.min_partitions))
         out, size = [[]], 0
-        for n in sorted(names):
-            if out[-1] and size + found[n] > self.partition_bytes:
-                out.append([])
-                size = 0
-            out[-1].append(n)
-            size += found[n]
+        for n in sorted(marks):
+            for start, end in zip(marks[n], [*marks[n][1:], None]):
+                length = (found[n] if end is None else end) - start
+                if out[-1] and size + length > most:
+                    out.append([])
+                    size = 0
+                out[-1].append((n, start, end))
+                size += length
         return [_Files(x) for x in out]
 
     def _keeps(self, head: dict[str, str]) -> bool:
@@ -236,15 +271,22 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.path)
-        code, rows, held = any(n in _CODED for n in self.names), [], 0
-        for path in partition.names:
-            with store.open_input_file(path) as f:
-                for row, n in self._records(f, not path.endswith(".gz"), code):
-                    rows.append(row)
-                    held += n
-                    if len(rows) >= 4096 or held > 16 << 20:
-                        yield self._batch(rows)
-                        rows, held = [], 0
+
+        def rows() -> Iterator[tuple[dict[str, Any], int]]:
+            for path, start, end in partition.parts:
+                with store.open_input_file(path) as f:
+                    yield from self.records(f, path, start, end)
+
+        yield from self.batches(rows())
+
+    def batches(self, records: Iterator[tuple[dict[str, Any], int]]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row, n in records:
+            rows.append(row)
+            held += n
+            if len(rows) >= 4096 or held > 16 << 20:
+                yield self._batch(rows)
+                rows, held = [], 0
         if rows:
             yield self._batch(rows)
 
@@ -252,15 +294,40 @@ class WarcReader(DataSourceReader):
         kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[COLUMNS[n][0]]) for n in self.names], self.names)
 
-    def _records(self, f: BinaryIO, plain: bool, code: bool) -> Iterator[tuple[dict[str, Any], int]]:
-        end = f.seek(0, 2) or f.tell()
-        f.seek(0)
+    def records(self, f: BinaryIO, path: str, start: int = 0, end: int | None = None) -> Iterator[tuple[dict[str, Any], int]]:
+        """Rows of the wanted records that start in a part of an open file, with the bytes
+        that each holds."""
+        plain, size = not path.endswith(".gz"), f.seek(0, 2) or f.tell()
+        end = size if end is None else end
+        while start < end:
+            f.seek(start)
+            try:
+                yield from self._records(f, plain, end)
+                return
+            except (ValueError, zlib.error, struct.error, EOFError) as broken:
+                if not self.permissive:
+                    raise
+                last, reason = self.at, f"{path}@{self.at}: {broken}"
+            if self._keeps({}):
+                yield {"corrupt": reason}, 0
+            start = _next_record(f, last + 1, end, b"WARC/1." if plain else b"\x1f\x8b\x08")
+
+    def _records(self, f: BinaryIO, plain: bool, end: int) -> Iterator[tuple[dict[str, Any], int]]:
+        code = any(n in _CODED for n in self.names)
+        self.at = f.tell()
         part = _Member(f, True) if plain else None
         more = False
         while more or f.tell() < end or plain and part.ready.strip():
+            if not more:
+                self.at = f.tell()
             part = part if plain or more else _Member(f, False)
             lines = part.until(b"\r\n\r\n").decode("utf-8", "replace").strip().split("\r\n")
-            head = {k.strip().lower(): urllib.parse.unquote(v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])}
+            if not lines[0].startswith("WARC/"):
+                raise ValueError("not a WARC record")
+            head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            for k in head.get(_ENCODED.lower(), "").lower().split(","):
+                if k.strip() in head:
+                    head[k.strip()] = urllib.parse.unquote(head[k.strip()])
             n = int(head.get("content-length", 0))
             row, size = None, 0
             if self._keeps(head):
@@ -287,6 +354,7 @@ class WarcReader(DataSourceReader):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.most = options["path"], int(options.get("file_bytes", 1 << 30))
+        self.step = int(options.get("mark_bytes", 64 << 20))
         if overwrite:
             store, root = fs.FileSystem.from_uri(self.path)
             if store.get_file_info(root).type == fs.FileType.Directory:
@@ -295,7 +363,7 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
-        names: list[str] = []
+        marks: dict[str, list[int]] = {}
         out, size = None, 0
         for b in iterator:
             for i in range(0, b.num_rows, 256):
@@ -303,24 +371,27 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is None or size > self.most:
                         if out:
                             out.close()
-                        names.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                        out, size = store.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
+                        name = f"part-{uuid.uuid4().hex}.warc.gz"
+                        marks[name] = at = [0]
+                        out, size = store.open_output_stream(f"{root}/{name}", compression=None), 0
+                    if size - at[-1] >= self.step:
+                        at.append(size)
                     data = _member(record(row))
                     out.write(data)
                     size += len(data)
         if out:
             out.close()
-        return _Wrote(names)
+        return _Wrote(marks)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as f:
-            f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+            f.write(json.dumps({n: at for m in messages if m for n, at in m.marks.items()}).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
-        for n in (n for m in messages if m for n in m.names):
+        for n in (n for m in messages if m for n in m.marks):
             store.delete_file(f"{root}/{n}")
 
 
@@ -350,23 +421,49 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
+def through_spark(spark: SparkSession, path: str, columns: str = ",".join(COLUMNS), **options) -> DataFrame:
+    """The records of archives that only Spark can open, by its binaryFile source: a file
+    is one row there, read whole, and must stay under 2 GB. Filters are not pushed."""
+    reader = WarcDataSource({"path": path, "columns": columns, **options})
+    names, source = reader._names(), WarcReader({"path": path, **options}, reader._names())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                yield from source.batches(source.records(io.BytesIO(data.as_buffer()), name))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("path").rlike(r"\.warc(\.gz)?$"))
+    return files.select("path", "content").mapInArrow(run, ", ".join(f"{n} {COLUMNS[n][0]}" for n in names))
+
+
 def revisits(pages: DataFrame, id_col: str, least: int = 0) -> DataFrame:
-    """Add record_type and refers_to: of rows with equal payloads (column payload) of at
-    least ``least`` bytes, the one with the smallest id is a response and the others
-    revisit it. A row with a null id can't be named but revisits like any other; rows
-    that repeat the smallest id are all responses."""
+    """Add record_type and refers_to, in place of any columns of these names: of rows with
+    equal payloads (column payload) of at least ``least`` bytes, the one with the smallest
+    id is a response and the others revisit it. A row with a null id can't be named but
+    revisits like any other; rows that repeat the smallest id are all responses.
+
+    Which rows revisit which is found from ids and digests alone. The payloads move once,
+    by id and digest, so that a payload with very many copies is spread over its ids."""
     rows = pages.withColumn("_cw_sha", F.unhex(F.sha1("payload")))
-    groups = rows.filter(F.length("payload") >= least).groupBy("_cw_sha").agg(F.min(id_col).alias("_cw_first"), F.count("*").alias("_cw_n"))
-    many = groups.filter("_cw_n > 1 and _cw_first is not null").select("_cw_sha", "_cw_first")
-    out = rows.join(many, "_cw_sha", "left")
-    again = F.col("_cw_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_cw_first"))
-    return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("_cw_first"))).drop("_cw_sha", "_cw_first")
+    keys = cut(rows.select(F.col(id_col).alias("_cw_id"), "_cw_sha", F.length("payload").alias("_cw_n")), "digests")
+    groups = keys.filter(F.col("_cw_n") >= least).groupBy("_cw_sha").agg(F.min("_cw_id").alias("_cw_first"), F.count("*").alias("_cw_n"))
+    many = cut(groups.filter("_cw_n > 1 and _cw_first is not null").select("_cw_sha", "_cw_first"), "copies")
+    found = keys.select("_cw_id", "_cw_sha").join(many, "_cw_sha").filter(~F.col("_cw_id").eqNullSafe(F.col("_cw_first"))).distinct()
+    found = cut(found.select("_cw_id", F.col("_cw_sha").alias("_cw_same"), "_cw_first"), "revisits")
+    again = F.col("_cw_first").isNotNull()
+    out = rows.join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col("_cw_id")) & (F.col("_cw_sha") == F.col("_cw_same")), "left")
+    out = out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("_cw_first")))
+    return out.drop("_cw_sha", "_cw_first", "_cw_same", "_cw_id")
 
 
 def write_pages(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html") -> None:
     register(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).alias("target_uri"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    named = revisits(rows, "page_id", least)
+    with scratch():
+        _write(revisits(rows, "page_id", least), path)
+
+
+def _write(named: DataFrame, path: str) -> None:
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     named.select(urn("page_id").alias("record_id"), "record_type", "target_uri", urn("refers_to").alias("refers_to"), "payload").write.format("warc").mode("append").save(path)
 
@@ -374,7 +471,7 @@ def write_pages(pages: DataFrame, path: str, least: int = 0, id_col: str = "page
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_pages(table(spark, sf_dir, "pages"), path)
-    back = spark.read.format("warc").option("columns", "record_id,record_type,refers_to,payload_bytes,payload_sha1").load(path)
+    back = spark.read.format("warc").option("columns", "record_id,record_type,refers_to,payload_bytes,payload_sha1").option("min_partitions", spark.sparkContext.defaultParallelism).load(path)
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, r'urn:page:(-?\\d+)', 1), '') as long)")
     out = cut(back.select(number("record_id").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")), "warc-read")
     back._cut_path = path
@@ -382,7 +479,6 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-
 #: base32 from the hexadecimal digest: five digits, 20 bits, are four characters.
 OP1_SQL = """
 WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),

@@ -566,6 +566,55 @@ def test_warc(spark, tmp_path):
     assert spark.read.format("warc").load(f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_leaves_headers_alone(spark, tmp_path):
+    """Percent signs are others' own; only what we encoded is decoded."""
+    uris = ["http://x/a%2Fb", "http://x/100%", "http://x/%0Aa\r\nWARC-Type: fake", " padded ", "http://x/%25"]
+    df = spark.createDataFrame([(i, u, "p") for i, u in enumerate(uris)], "page_id long, url string, html string")
+    warc.write_pages(df, f"file://{tmp_path}/w")
+    assert sorted(r.target_uri for r in spark.read.format("warc").load(f"file://{tmp_path}/w").collect()) == sorted(uris)
+    assert b"WARC-Target-URI: http://x/a%2Fb\r\n" in warc.record({"target_uri": uris[0]})
+    (tmp_path / "f.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/a%2Fb\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    got = spark.read.format("warc").load(f"file://{tmp_path}/f.warc").first()
+    assert (got.target_uri, got.payload) == ("http://x/a%2Fb", b"abc")
+
+
+def test_warc_broken_records(spark, tmp_path):
+    warc.register(spark)
+    some = [warc._member(warc.record({"record_id": f"<{i}>", "payload": bytes([65 + i]) * 5000})) for i in range(6)]
+    broken = bytearray(some[2])
+    broken[40:60] = b"\xff" * 20
+    for name, files in (("x.warc.gz", [*some[:2], bytes(broken), *some[3:]]), ("y.warc.gz", [*some[:5], some[5][:-30]]), ("z.warc.gz", [b"junk", *some])):
+        (tmp_path / name).write_bytes(b"".join(files))
+        read = spark.read.format("warc").option("mode", "permissive").load(f"file://{tmp_path}/{name}")
+        rows = read.collect()
+        good = sorted(r.record_id for r in rows if r.corrupt is None)
+        assert good == [f"<{i}>" for i in range(6) if (name[0], i) not in (("x", 2), ("y", 5))]
+        assert all(f"{name}@" in r.corrupt for r in rows if r.corrupt) and any(r.corrupt for r in rows)
+        assert read.filter("record_type = 'response'").count() == len(good)
+        with pytest.raises(Exception):
+            spark.read.format("warc").load(f"file://{tmp_path}/{name}").collect()
+    # Others' stores, by Spark itself.
+    assert warc.through_spark(spark, f"file://{tmp_path}", mode="permissive").filter("corrupt is null").count() == 5 + 5 + 6
+
+
+def test_warc_splits_files_at_marks(spark, tmp_path):
+    df = spark.range(400).selectExpr("id as page_id", "'u' as url", "repeat(sha2(cast(id as string), 512), 20) as html").coalesce(1)
+    warc.register(spark)
+    rows = df.selectExpr("concat('<', page_id, '>') as record_id", "'response' as record_type", "url as target_uri", "cast(html as binary) as payload")
+    rows.write.format("warc").mode("append").option("mark_bytes", 4000).option("file_bytes", 40000).save(f"file://{tmp_path}/m")
+    back = spark.read.format("warc").option("partition_bytes", 8000).load(f"file://{tmp_path}/m")
+    assert back.rdd.getNumPartitions() > 8
+    assert sorted(r.record_id for r in back.collect()) == sorted(f"<{i}>" for i in range(400))
+    assert len(list((tmp_path / "m").glob("*.warc.gz"))) > 1
+
+
+def test_warc_payloads_move_by_id(spark):
+    pages = spark.createDataFrame([(i, "u", "same" if i % 3 else f"own {i}") for i in range(30)], "page_id long, url string, payload string")
+    named = warc.revisits(pages.withColumn("payload", F.col("payload").cast("binary")), "page_id")
+    assert "hashpartitioning(_cw_sha" not in named._jdf.queryExecution().executedPlan().toString()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in named.collect()} == {(i, "revisit" if i % 3 and i != 1 else "response", 1 if i % 3 and i != 1 else None) for i in range(30)}
+
+
 def test_warc_members_of_several_records(spark, tmp_path):
     import gzip
 
