@@ -537,6 +537,96 @@ def test_urls(spark):
     assert free == {("shop", "block", "+block"), ("sale", "block", "+block"), ("news", "allow", "news")}
 
 
+def brute_templates(urls, f):
+    """(host, path, rule, verdict, template) by walking the tree of each host."""
+    rows, hosts = [], collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0, 0]))
+    for u in urls:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest, re.S).groups()
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fit = [(r, v) for r, v in f.rules if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        rule, label = max(fit, key=lambda x: len(x[0]), default=(None, None))
+        shape = re.sub("[0-9]+", "#", re.sub(r"\b(?=[a-f]*[0-9])[0-9a-f]{8,}\b", "#", path, flags=re.A))
+        rows.append((host, path, rule, label, shape))
+        c = hosts[host][shape]
+        c[0], c[1], c[2] = c[0] + 1, c[1] + (label is not None), c[2] + (label == "block")
+    letter = lambda x: any(c.isalpha() for c in x)
+    template = {}
+    for host, shapes in hosts.items():
+        stack = [("", 1, list(shapes))]
+        while stack:
+            prefix, level, some = stack.pop()
+            parts = {s: s.split("/") for s in some}
+            going = [s for s in some if len(parts[s]) > level]
+            whole = sum(shapes[s][0] for s in going)
+            for s in some:
+                if whole < f.min_count or s not in going:
+                    template[host, s] = prefix + "".join("/" + ("*" if letter(x) else x) for x in parts[s][level:])
+            if whole < f.min_count:
+                continue
+            per = collections.Counter()
+            for s in going:
+                per[parts[s][level]] += shapes[s][0]
+            below = collections.defaultdict(list)
+            for s in going:
+                x = parts[s][level]
+                keep = not letter(x) or per[x] >= f.min_count and per[x] >= f.min_share * whole
+                below[prefix + "/" + (x if keep else "*")].append(s)
+            stack += [(p, level + 1, x) for p, x in below.items()]
+    merged = {k: k[1] for k in {(h, t) for (h, _), t in template.items()}}
+    label = collections.defaultdict(lambda: [0, 0])
+    for (h, s), t in template.items():
+        label[h, t][0] += hosts[h][s][1]
+        label[h, t][1] += hosts[h][s][2]
+    for at in range(1, 1 + max((t.count("/") for _, t in merged), default=0)):
+        groups = collections.defaultdict(lambda: [0, 0])
+        for k, m in merged.items():
+            groups[k[0], m][0] += label[k][0]
+            groups[k[0], m][1] += label[k][1]
+        pools = collections.defaultdict(list)
+        for (h, m), (n, b) in groups.items():
+            x = m.split("/")
+            if n >= f.min_labels and len(x) > at and re.fullmatch("[^#*+]+", x[at]):
+                pools[h, "/".join([*x[:at], "+block" if 2 * b >= n else "+allow", *x[at + 1 :]])].append((m, n, b))
+        into = {}
+        for (h, name), some in pools.items():
+            while len(some) > 1:
+                p = sum(b for *_, b in some) / sum(n for _, n, _ in some)
+                alike = [x for x in some if abs(x[2] / x[1] - p) <= f.critical * math.sqrt(p * (1 - p) / x[1]) + 1e-12]
+                if len(alike) == len(some):
+                    into |= {(h, m): name for m, *_ in some}
+                    break
+                some = alike
+        merged = {k: into.get((k[0], m), m) for k, m in merged.items()}
+    total = collections.defaultdict(lambda: [0, 0])
+    for k, m in merged.items():
+        total[k[0], m][0] += label[k][0]
+        total[k[0], m][1] += label[k][1]
+    out = []
+    for host, path, rule, verdict, shape in rows:
+        m = merged[host, template[host, shape]]
+        n, b = total[host, m]
+        out.append((host, path, rule, verdict or ("block" if (b + 1) / (n + 2) >= f.purity else "allow"), m))
+    return out
+
+
+@pytest.mark.parametrize("case", ["made", "pages"])
+def test_urls_by_brute_force(spark, case):
+    if case == "pages":
+        f, urls = url_filter.UrlFilter(), [r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").collect()]
+    else:
+        rng = random.Random(12)
+        f = url_filter.UrlFilter((("h.com/a/1", "block"), ("h.com/b/1", "block"), ("h.com/c/1", "allow"), ("h.com/b/12", "allow"), ("h.com/d", "block"), ("k.org/", "allow"), ("h.com/", "allow"), ("h.com/a/", "block")), min_share=0.05)
+        urls = [f"http://{rng.choice(['h.com', 'x.h.com', 'k.org'])}/{rng.choice('aabbccde')}/{rng.randrange(30)}{rng.choice(['', '', '/x', '/y/z', '/deep' * 12, '/' + words(1, rng.randrange(99))])}" for _ in range(900)]
+        urls += [f"https://slug.net/{words(2, i).replace(' ', '-')}" for i in range(300)] + [None, "", "://", "http:///p"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template) for r in f.judge(df).collect()}
+    want = brute_templates(urls, f)
+    assert [got[i] for i in range(len(urls))] == want
+    if case == "made":
+        assert any("+" in t for *_, t in want) and any("/deep" * 12 in t for *_, t in want) and {t for h, *_, t in want if h == "slug.net"} == {"/*"}
+
+
 def test_warc(spark, tmp_path):
     rows = [(2, "http://a/1", "same"), (1, "http://a/2\r\nX: y", "same"), (3, None, None), (4, "http://b%41", "é" * 100000), (None, "u", "same"), (5, "e", "")]
     df = spark.createDataFrame([(*r, "c", "c") for r in rows], "page_id long, url string, html string, payload string, record_type string")
