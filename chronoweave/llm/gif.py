@@ -10,9 +10,15 @@ Both directions handle one image at a time, in memory proportional to it. The co
 after a clear code have widths that depend on their number only, so whole runs of codes
 are packed and unpacked as arrays; the dictionary walk is one step per code.
 
-A null media column gives no frames; so does data that holds no image. Truncated or
-foreign data raises ValueError, as a lossy result would pass unseen. Rows that repeat
-are decoded each for itself.
+A null media column gives no frames; so does data that holds no image. read_gif() raises
+ValueError on truncated or foreign data, and on a canvas of more than `max_pixels`, which
+a header can claim at no cost. frames() turns that into a row with the error and without
+pixels, after the frames that could be read, so that one bad image neither fails the job
+nor goes unseen; mode "failfast" raises.
+
+As text, null counts as empty; an empty text is one row of spaces. Rows that repeat are
+coded each for itself, columns other than the two named are never read, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,18 +163,20 @@ def write_gif(frames: list[np.ndarray], palette: bytes = GRAY, delays: list[int]
     return b"".join([*out, b"\x3b"])
 
 
-def read_gif(data: bytes) -> Iterator[Frame]:
+def read_gif(data: bytes, max_pixels: int = 1 << 27) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     try:
-        yield from _read(data)
+        yield from _read(data, max_pixels)
     except (IndexError, struct.error):
         raise ValueError("truncated GIF") from None
 
 
-def _read(data: bytes) -> Iterator[Frame]:
+def _read(data: bytes, max_pixels: int) -> Iterator[Frame]:
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
     at = 13
+    if width * height > max_pixels:
+        raise ValueError(f"a canvas of {width} x {height}")
 
     def colours(flag: int) -> np.ndarray:
         nonlocal at
@@ -240,17 +248,27 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.bincount(p[:, 0].astype(np.int64) << 4 | p[:, 1] << 2 | p[:, 2], minlength=64)
 
 
-def frames(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """(id, frame, delay_ms, width, height, pixels as RGBA, histogram) of every frame."""
+def frames(media: DataFrame, id_col: str, media_col: str, mode: str = "permissive", max_pixels: int = 1 << 27) -> DataFrame:
+    """(id, frame, delay_ms, width, height, pixels as RGBA, histogram, error) of every frame."""
+    kinds = {"id": pa.int64(), "frame": pa.int32(), "delay_ms": pa.int32(), "width": pa.int32(), "height": pa.int32(), "pixels": pa.binary(), "histogram": pa.list_(pa.int64()), "error": pa.string()}
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds.values())], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, data in zip(b.column(0).to_pylist(), b.column(1)):
-                for i, f in enumerate(read_gif(data.as_py()) if data.is_valid else ()):
-                    h, w, _ = f.canvas.shape
-                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([i], pa.int32()), pa.array([f.delay * 10], pa.int32()), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([f.canvas.tobytes()], pa.binary()), pa.array([histogram(f.canvas)], pa.list_(pa.int64()))], ["id", "frame", "delay_ms", "width", "height", "pixels", "histogram"])
-
-    return media.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(run, "id long, frame int, delay_ms int, width int, height int, pixels binary, histogram array<long>")
+                i = -1
+                try:
+                    for i, f in enumerate(read_gif(data.as_py(), max_pixels) if data.is_valid else ()):
+                        h, w, _ = f.canvas.shape
+                        yield row(key, i, f.delay * 10, w, h, f.canvas.tobytes(), histogram(f.canvas), None)
+                except ValueError as bad:
+                    if mode == "failfast":
+                        raise
+                    yield row(key, i + 1, None, None, None, None, None, str(bad))
+
+    return media.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(run, "id long, frame int, delay_ms int, width int, height int, pixels binary, histogram array<long>, error string")
 
 
 WIDTH, ROWS = 192, 1024

@@ -16,7 +16,9 @@ else covers whole texts.
 Texts that are null or hold no letter give ``und`` with score 0 and are rejected, as
 is every text when nothing could be learned. Labels that are null teach nothing. A row
 with a null id is not held out and teaches nothing. Ties in bytes and bits go to the
-language first in code point order. An empty table gives an empty result.
+language first in code point order. More than `max_langs` languages are refused: all their
+dictionaries must fit in a worker. Rows that repeat are predicted each for itself. Columns
+other than those named are never read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -3,10 +3,13 @@ encoded lengths.
 
 The ids are those of the ``tokenizers`` file. The same vocabulary also comes as
 ranks, which ``tiktoken`` encodes several times faster; a test shows both to agree
-around every seventh code point below U+10000, so texts of these go the fast way and all
-others, and texts holding the special token's string, through ``tokenizers``.
+around every code point below U+10000, so texts of these go the fast way and all others,
+and texts holding the special token's string, through ``tokenizers``.
 
-A null text counts as empty.
+A null text counts as empty, and an empty one has length 0, a row of the histogram like any
+other. Texts are encoded whole, one at a time. Rows that repeat an id or a text count each
+for itself. Columns other than the two named are never read. An empty table gives an empty
+histogram.
 """
 
 from __future__ import annotations
@@ -106,6 +109,7 @@ def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
     n = hist.agg(F.sum("n_docs").alias("n"))
     wanted = hist.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
     upto = F.col("n") - F.col("docs_at_least") + F.col("n_docs")
+    # One row, and as many as the caller names: loops over two short lists.
     at = hist.join(F.broadcast(n)).join(F.broadcast(wanted), upto >= F.ceil(F.col("share") * F.col("n")))
     return at.groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
 
