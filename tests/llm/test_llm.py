@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from chronoweave.llm import exact_dedup, gif, graph, language_id, minhash, mixing, packing, registry, secret_scan, tokens, url_filter, warc
+from chronoweave.llm import common, exact_dedup, gif, graph, language_id, minhash, mixing, packing, registry, secret_scan, tokens, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -817,10 +818,60 @@ def test_warc_members_of_several_records(spark, tmp_path):
     assert sorted(r.payload_bytes for r in z.filter("record_type = 'metadata'").collect()) == [i * 9999 for i in range(0, 30, 3)]
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def test_pipeline(spark, tmp_path):
+    """Every stage against a plain version of itself, and run() against all of them."""
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "best_fit_packing"]
-    out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 0 and {r.doc_id for r in out.select("doc_id").distinct().collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
-    for _, stage in corpus_pipeline.STAGES:
+    stages = dict(corpus_pipeline.STAGES)
+    junk = [(5001, None, "en", "src1", None), (5002, "12 34", None, None, 5), (5003, "", "en", "src1", 0)]
+    sf = f"file://{tmp_path}"
+    spark.read.parquet(f"{SF}/documents.parquet").union(spark.createDataFrame(junk, DOCS)).write.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+
+    def passed(name, before):
+        out = common.cut(stages[name](spark, before, sf), name)
+        assert out.columns == docs.columns or name == "best_fit_packing"
+        return out
+
+    named = passed("language_id", docs)
+    model = language_id._learned(docs)
+    want = {r.doc_id for r in rows if not model.guess(r.text)[2]}
+    assert {r.doc_id for r in named.collect()} == want and named.count() == len(want) < len(rows)
+    once = passed("exact_dedup", named)
+    last = {}
+    for r in rows:
+        if r.doc_id in want:
+            key = r.text.encode().lower()
+            last[key] = max(last.get(key, r.doc_id), r.doc_id)
+    assert sorted(map(tuple, once.collect())) == sorted(tuple(r) for r in rows if r.doc_id in set(last.values()))
+    apart = passed("near_dedup", once)
+    of = brute_near([(r.doc_id, r.text) for r in once.collect()])
+    assert sorted(r.doc_id for r in apart.collect()) == sorted(i for i, c in of.items() if i == c)
+    mixed = passed("mixing", apart)
+    share = {r.doc_id: r.taken / r.size for r in mixing.Mixture().mix(apart).collect()}
+    copies = collections.Counter(r.doc_id for r in mixed.collect())
+    assert all(math.floor(x) <= copies[i] <= math.floor(x) + 1 for i, x in share.items()) and set(copies) <= set(share)
+    assert abs(sum(copies.values()) - sum(share.values())) < 0.2 * sum(share.values())
+    packed = passed("best_fit_packing", mixed).collect()
+    enc = tokens.Encoder()
+    length = {r.doc_id: len(enc.exact(r.text)) + 1 for r in apart.collect()}
+    assert collections.Counter(r.doc_id for r in packed if r.start == 0) == copies
+    assert sum(r.length for r in packed) == sum(length[i] * n for i, n in copies.items())
+    bins = collections.defaultdict(list)
+    for r in packed:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in b) <= 2048 and all(o == sum(n for p, n in b if p < o) for o, _ in b) for b in bins.values())
+    place = common.shared_dir(spark).removeprefix("file://")
+    there = set(os.listdir(place))
+    got = corpus_pipeline.run(spark, sf)
+    assert collections.Counter(map(tuple, got.drop("sequence_id", "offset").collect())) == collections.Counter(tuple(r)[:5] for r in packed)
+    new = [x for x in os.listdir(place) if x not in there]
+    assert len(new) == 1 and new[0].startswith("best_fit_packing")  # nothing else is left
+
+
+def test_stages_with_odd_rows(spark):
+    odd = odd_docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), SF).count() == 0
+        out = stage(spark, odd, SF)
+        assert out.count() > 0 and (out.columns == odd.columns or name == "best_fit_packing")
