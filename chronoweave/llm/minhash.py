@@ -162,9 +162,11 @@ class NearDuplicates:
         some = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")
         sets = cut(docs.join(some, "doc_id", "left_semi").mapInArrow(_sets(self.width, self.sketcher), "id long, shingles array<long>, sig array<long>, keys array<long>"), "sets")
 
-        stars = members.filter("id <> lo").select(F.col("id").alias("u"), F.col("lo").alias("v")).union(members.filter("id <> hi").select(F.col("hi").alias("u"), F.col("id").alias("v"))).distinct()
+        # u is the member and v the hub: a hub's rows meet it with the members' signatures
+        # (and later their sets) already in them, large enough to be seen as skewed and split.
+        stars = members.filter("id <> lo").select(F.col("id").alias("u"), F.col("lo").alias("v")).union(members.filter("id <> hi").select(F.col("id").alias("u"), F.col("hi").alias("v"))).distinct()
         stars = stars.join(sets.select(F.col("id").alias("u"), F.col("sig").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v")
-        stars = cut(stars.filter(self.near).select("u", "v").distinct(), "stars")
+        stars = cut(stars.filter(self.near).select("u", "v"), "stars")
         links = self.links(stars, sets)
         comp = cut(components(links), "components")
 
@@ -180,7 +182,8 @@ class NearDuplicates:
         first = F.expr("band = 0 or not exists(sequence(0, band - 1), j -> ku[j] = kv[j])")
         same = (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"])
         cross = a.join(b, same & (F.col("cu") < F.col("cv")) & F.expr(self.near) & first).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        cross = cut(cross.join(stars, ["u", "v"], "left_anti"), "cross")
+        tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        cross = cut(cross.join(tried, ["u", "v"], "left_anti"), "cross")
         old = [stars, members, shared, mixed, open_, cross, links, comp, rows, folded, sets]
         if not is_empty(cross):
             more = self.links(cross, sets)
