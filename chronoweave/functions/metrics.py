@@ -55,25 +55,35 @@ class DieboldMariano:
     dm_statistic: float
     p_value: float
     significant: bool
-    preferred: str
+    preferred: str | None  # model_a, model_b, or none if the test sees no difference
 
 
-def diebold_mariano(df: DataFrame, y: str, a: str, b: str, order: tuple[str, ...], *, loss: str = "squared", h: int = 1, alpha: float = 0.05) -> DieboldMariano:
-    """Whether forecasts a and b of one series differ, with the correction for short
-    samples. Autocovariances up to h - 1 come from lagged products in one aggregate."""
+def loss_covariances(df: DataFrame, y: str, a: str, b: str, order: tuple[str, ...], *, loss: str = "squared", h: int = 1) -> DataFrame:
+    """One row: n, the mean difference of losses, and its autocovariances g0 to g(h-1), each
+    the mean of its own n - k products. Without lags (h = 1) it is a plain aggregate; lags
+    need the forecasts in order, in one task."""
     if loss not in ("squared", "absolute"):
         raise ValueError("loss is squared or absolute")
     cost = (lambda p: F.pow(F.col(y) - F.col(p), F.lit(2.0))) if loss == "squared" else (lambda p: F.abs(F.col(y) - F.col(p)))
-    w = Window.partitionBy(F.lit(0)).orderBy(*order)
     d = df.select(*order, (cost(a) - cost(b)).alias("_cw_d"))
-    n, mean = d.agg(F.count("_cw_d"), F.avg("_cw_d")).first()
+    mean = F.broadcast(d.agg(F.count("_cw_d").alias("n"), F.avg("_cw_d").alias("mean")))  # one row
+    w = Window.partitionBy(F.lit(0)).orderBy(*order)
+    lags = d.select("_cw_d", *(F.lag("_cw_d", k).over(w).alias(f"_cw_{k}") for k in range(1, h)))
+    c = F.col("_cw_d") - F.col("mean")
+    others = [c, *(F.col(f"_cw_{k}") - F.col("mean") for k in range(1, h))]
+    return lags.crossJoin(mean).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), *(F.avg(c * x).alias(f"g{k}") for k, x in enumerate(others)))
+
+
+def diebold_mariano(df: DataFrame, y: str, a: str, b: str, order: tuple[str, ...], *, loss: str = "squared", h: int = 1, alpha: float = 0.05) -> DieboldMariano:
+    """Whether forecasts a and b of one series differ, with the correction for short
+    samples."""
+    row = loss_covariances(df, y, a, b, order, loss=loss, h=h).first()
+    n = row["n"] or 0
     if n < 3:
         raise ValueError("at least three rows are needed")
-    c = d.select((F.col("_cw_d") - mean).alias("c"), *((F.lag("_cw_d", k).over(w) - mean).alias(f"l{k}") for k in range(1, h)))
-    sums = c.agg(F.sum(F.col("c") * F.col("c")), *(F.sum(F.col("c") * F.col(f"l{k}")) for k in range(1, h))).first()
-    var = (sums[0] + 2 * sum(x or 0.0 for x in sums[1:])) / n / n
+    var = (row["g0"] + 2 * sum(row[f"g{k}"] or 0.0 for k in range(1, h))) / n
     if var <= 0:
-        return DieboldMariano(0.0, 1.0, False, "neither")
-    stat = mean / math.sqrt(var) * math.sqrt(max(0.0, (n + 1 - 2 * h + h * (h - 1) / n) / n))
+        return DieboldMariano(0.0, 1.0, False, None)
+    stat = row["mean"] / math.sqrt(var) * math.sqrt(max(0.0, (n + 1 - 2 * h + h * (h - 1) / n) / n))
     p = t_two_sided(stat, n - 1)
-    return DieboldMariano(stat, p, p < alpha, ("b" if stat > 0 else "a") if p < alpha else "neither")
+    return DieboldMariano(stat, p, p < alpha, ("model_b" if stat > 0 else "model_a") if p < alpha else None)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from ..functions.catalogue import WINDOWS, Catalogue
+from ..functions.catalogue import Catalogue, Operator
 
 MAX_DEPTH = 4
 
@@ -125,9 +125,11 @@ def parse(text: str, catalogue: Catalogue | None = None) -> Expr:
 
 
 def leaf(rng: random.Random, variables: Sequence[str], p_constant: float = 0.2) -> Expr:
-    if not variables or rng.random() < p_constant:
-        return Const(round(rng.uniform(-1, 1), 4))
-    return Var(rng.choice(list(variables)))
+    """A variable, or with p_constant (and where there are none) a constant on a grid of
+    ten-thousandths from -1 to 1."""
+    kinds = ["constant", "variable"] if variables else ["constant"]
+    kind, *_ = rng.choices(kinds, [p_constant, 1 - p_constant][: len(kinds)] if variables else None)
+    return Var(rng.choice(variables)) if kind == "variable" else Const(rng.randint(-10_000, 10_000) / 10_000)
 
 
 def grow(catalogue: Catalogue, variables: Sequence[str], max_depth: int = MAX_DEPTH, *, rng: random.Random, p_constant: float = 0.2, p_leaf: float = 0.3) -> Expr:
@@ -152,35 +154,34 @@ def grow_full(catalogue: Catalogue, variables: Sequence[str], target_depth: int
 
 
 class Mutator:
-    """Random changes of an expression, one at a time, within the depth bound."""
+    """Random changes of an expression, one at a time, within the depth bound. Rules list
+    what may stand in a node's place; a change is one of all that a rule allows anywhere in
+    the tree, each as likely as the other. Where it allows none, the tree stays."""
 
     def __init__(self, catalogue: Catalogue, variables: Sequence[str], max_depth: int = MAX_DEPTH, seed: int | None = None):
         self.catalogue, self.names, self.max_depth, self.rng = catalogue, list(variables), max_depth, random.Random(seed)
 
-    def _pick(self, tree: Expr, test) -> tuple[tuple[int, ...], Expr] | None:
-        found = [(p, n) for p, n in tree.paths() if test(n)]
-        return self.rng.choice(found) if found else None
+    def _change(self, tree: Expr, rule: Callable[[Expr], list[Expr]]) -> Expr:
+        steps = [(path, new) for path, node in tree.paths() for new in rule(node)]
+        return tree.replace(*self.rng.choice(steps)) if steps else tree
+
+    def _called(self, node: Expr, test: Callable[[Operator, Operator], bool]) -> list[Expr]:
+        """The call with every other operator that the test lets stand for its own."""
+        if not isinstance(node, Call):
+            return []
+        own = self.catalogue.get(node.op)
+        return [Call(o.name, node.args) for o in self.catalogue.by_arity(own.arity) if o.name != own.name and test(own, o)]
 
     def swap_operator(self, tree: Expr) -> Expr:
         """Another operator of the same family and arity, else of the same arity."""
-        if not (at := self._pick(tree, lambda n: isinstance(n, Call))):
-            return tree
-        op = self.catalogue.get(at[1].op)
-        others = [o for o in self.catalogue.select(family=op.family, arity=op.arity) if o != op] or [o for o in self.catalogue.by_arity(op.arity) if o != op]
-        return tree.replace(at[0], Call(self.rng.choice(others).name, at[1].args)) if others else tree
+        return self._change(tree, lambda n: self._called(n, lambda own, o: o.family is own.family) or self._called(n, lambda own, o: True))
 
     def resize_window(self, tree: Expr) -> Expr:
-        if not (at := self._pick(tree, lambda n: isinstance(n, Call) and self.catalogue.get(n.op).has_window)):
-            return tree
-        op = self.catalogue.get(at[1].op)
-        w = self.rng.choice([x for x in WINDOWS if x != op.window])
-        return tree.replace(at[0], Call(f"{op.base_name}_{w}", at[1].args))
+        return self._change(tree, lambda n: self._called(n, lambda own, o: own.has_window and o.has_window and o.base_name == own.base_name))
 
     def swap_variable(self, tree: Expr) -> Expr:
-        if not (at := self._pick(tree, lambda n: isinstance(n, Var))):
-            return tree
-        others = [v for v in self.names if v != at[1].name]
-        return tree.replace(at[0], Var(self.rng.choice(others))) if others else tree
+        """Any other of the variables given, in the tree or not."""
+        return self._change(tree, lambda n: [Var(v) for v in self.names if v != n.name] if isinstance(n, Var) else [])
 
     def graft(self, tree: Expr) -> Expr:
         path, _ = self.rng.choice(list(tree.paths()))

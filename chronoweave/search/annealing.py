@@ -7,6 +7,7 @@ import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, ArithmeticException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.catalogue import Catalogue
@@ -14,6 +15,9 @@ from ..plans.compiler import SeriesFrame
 from ..plans.expression import Expr, Mutator, grow
 from .scoring import DualScorer
 
+#: What an expression itself can be at fault for.
+FAULTS = (ValueError, KeyError, AnalysisException, ArithmeticException)
+
 #: Scores of expressions, -inf for those that can't be scored.
 Scorer = Callable[[Sequence[Expr]], list[float]]
 
@@ -33,12 +37,11 @@ class AnnealingSchedule:
         return max(1e-12, self.tau_0 * (1 - t / self.total_iterations))
 
     def metropolis_accept(self, delta: float, temperature: float) -> bool:
-        """Always when no worse; never for a change that is no number."""
-        if math.isnan(delta):
+        """Always when better; never for a change that is no number; at temperature 0 only
+        when better."""
+        if math.isnan(delta) or delta <= 0 and temperature <= 0:
             return False
-        if delta >= 0:
-            return True
-        return temperature > 0 and self.rng.random() < math.exp(delta / temperature)
+        return delta > 0 or self.rng.random() < math.exp(delta / temperature)
 
 
 @dataclass
@@ -83,7 +86,7 @@ class FeatureSearch:
             tau = self.schedule.temperature(t)
             pool = best(pool)
             elites, rest = pool[: self.elites], pool[self.elites :]
-            n_new = int(self.diversity * self.pool)
+            n_new = max(1, int(self.diversity * self.pool))
             # One batch: the changed elites and the fresh expressions of this generation.
             changed = [self.mutator.mutate(e) for e, _ in elites]
             fresh = self._new(n_new + max(0, self.pool - len(pool)))
@@ -99,8 +102,9 @@ class FeatureSearch:
 
 
 def ols_scorer(frame: SeriesFrame, target: str, batch: int = 25, scorer: DualScorer | None = None) -> Scorer:
-    """Scores by OLS, `batch` expressions to a job. A batch that fails as a whole is
-    scored one by one, so that one expression's failure stays its own."""
+    """Scores by OLS, `batch` expressions to a job. A batch that an expression makes fail
+    (it can't be analysed, or its arithmetic raises) is scored one by one, so that the
+    failure stays its own. Lost executors and the like are not caught."""
     dual = scorer or DualScorer()
 
     def some(trees: Sequence[Expr]) -> list[float]:
@@ -115,11 +119,11 @@ def ols_scorer(frame: SeriesFrame, target: str, batch: int = 25, scorer: DualSco
             part = trees[i : i + batch]
             try:
                 out += some(part)
-            except Exception:
+            except FAULTS:
                 for t in part:
                     try:
                         out += some([t])
-                    except Exception:
+                    except FAULTS:
                         out.append(-math.inf)
         return out
 

@@ -58,7 +58,7 @@ class OverfittingGuard:
     folds: int = 5
     min_r2: float = 0.0
     train_share: float = 0.6
-    test_share: float = 0.2
+    val_share: float = 0.2
     removed: dict[str, str] = field(default_factory=dict)
 
     def filter(self, df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (), order: Sequence[str] = ()) -> list[str]:
@@ -107,7 +107,7 @@ class OverfittingGuard:
         return [f for f in features if (row[f] or 0.0) > 0.5]
 
     def _valid(self, df, features, target, keys, order) -> list[str]:
-        splits = lambda n: guard_splits(n, self.folds, self.train_share, self.test_share)
+        splits = lambda n: guard_splits(n, self.folds, self.train_share, self.val_share)
         n = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if not splits(n):
             return features

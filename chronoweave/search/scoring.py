@@ -58,15 +58,14 @@ def expanding_splits(n: int, windows: int = 5, min_train: int = 63) -> list[tupl
     return [(min_train + w * step, min(min_train + (w + 1) * step, n)) for w in range(1, windows + 1)]
 
 
-def guard_splits(n: int, folds: int = 5, train_share: float = 0.6, test_share: float = 0.2) -> list[tuple[int, int]]:
-    """(end of training, end of validation) with the last fifth of rows held back; empty
-    for short series."""
-    first, test, val = max(30, n // 10), int(n * test_share), int(n * (1 - train_share - test_share) + 1e-9)
-    last = n - test - val
-    if last <= first or val < 1:
-        return []
-    ends = [first + int((last - first) * k / max(1, folds - 1)) for k in range(folds)]
-    return [(e, e + val) for e in ends]
+def guard_splits(n: int, folds: int = 5, train_share: float = 0.6, val_share: float = 0.2) -> list[tuple[int, int]]:
+    """(end of training, end of validation) of folds whose training grows by equal whole
+    steps; the share that is left is held back. Empty where no training fits."""
+    first, val = max(30, int(n * 0.1)), max(1, int(n * val_share))
+    held = max(1, int(n * (1.0 - train_share - val_share)))
+    room = n - held - val - first
+    step = max(1, room // max(1, folds - 1))
+    return [(first + k, first + k + val) for k in range(0, min(room, step * (folds - 1)) + 1, step)]
 
 
 def _segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], bounds) -> DataFrame:

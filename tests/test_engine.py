@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from chronoweave.functions import metrics
 from chronoweave.functions.catalogue import Catalogue, Family
 from chronoweave.plans.compiler import SeriesFrame
-from chronoweave.plans.expression import Call, Mutator, Var, grow, grow_full, parse
+from chronoweave.plans.expression import Call, Const, Mutator, Var, grow, grow_full, leaf, parse
 from chronoweave.search import models
 from chronoweave.search.annealing import AnnealingSchedule, FeatureSearch, ols_scorer
 from chronoweave.search.guards import OverfittingGuard, inflation_factors, rolling_r2
-from chronoweave.search.scoring import DualScorer, Mlp, expanding_splits, mlp_scores, ols_scores
+from chronoweave.search.scoring import DualScorer, Mlp, expanding_splits, guard_splits, mlp_scores, ols_scores
 from chronoweave.sources.datasets import DatasetLoader
 
 C = Catalogue(seed=42)
@@ -233,7 +233,9 @@ def test_metrics_and_models(spark, signal):
     same = spark.createDataFrame([(i, float(i), float(i), float(i) + (i % 3), float(i) - (i % 2)) for i in range(1, 60)], "t int, y double, p double, q double, r double")
     assert metrics.errors(same, "y", "p").first().asDict() == {"mae": 0.0, "rmse": 0.0, "mape": 0.0}
     assert metrics.diebold_mariano(same, "y", "q", "q", ("t",)).p_value == 1.0
-    assert metrics.diebold_mariano(same, "y", "p", "q", ("t",)).preferred == "a"
+    assert metrics.diebold_mariano(same, "y", "p", "q", ("t",)).preferred == "model_a"
+    assert metrics.diebold_mariano(same, "y", "q", "p", ("t",)).preferred == "model_b"
+    assert metrics.diebold_mariano(same, "y", "q", "q", ("t",)).preferred is None
     assert metrics.t_two_sided(2.0, 10) == pytest.approx(0.073388, abs=1e-6)
     with pytest.raises(ValueError):
         metrics.diebold_mariano(same.limit(2), "y", "p", "q", ("t",))
@@ -243,6 +245,53 @@ def test_metrics_and_models(spark, signal):
         models.create("mean").predict(signal)
 
 
+def test_metrics_by_value(spark):
+    rng = np.random.default_rng(5)
+    y, p, q = rng.normal(size=80) + 3, rng.normal(size=80) + 3, rng.normal(size=80) + 3.1
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(y, p, q))], "t int, y double, p double, q double").repartition(3)
+    got = metrics.errors(df, "y", "p").first()
+    assert got["mae"] == pytest.approx(np.abs(y - p).mean()) and got["rmse"] == pytest.approx(math.sqrt(((y - p) ** 2).mean()))
+    assert got["mape"] == pytest.approx((np.abs(y - p) / (np.abs(y) + 1e-8)).mean())
+    for loss, power in (("squared", 2), ("absolute", 1)):
+        d = np.abs(y - p) ** power - np.abs(y - q) ** power
+        for h in (1, 3, 5):
+            c = d - d.mean()
+            var = (c @ c / 80 + 2 * sum(np.mean(c[k:] * c[:-k]) for k in range(1, h))) / 80
+            want = d.mean() / math.sqrt(var) * math.sqrt((80 + 1 - 2 * h + h * (h - 1) / 80) / 80)
+            found = metrics.diebold_mariano(df, "y", "p", "q", ("t",), loss=loss, h=h)
+            assert found.dm_statistic == pytest.approx(want) and 0 < found.p_value < 1
+            assert found.preferred == ((None, "model_a", "model_b")[0 if found.p_value >= 0.05 else 1 if want < 0 else 2])
+
+
+def test_guard_splits():
+    assert guard_splits(500) == [(50, 150), (112, 212), (174, 274), (236, 336), (298, 398)]
+    assert guard_splits(50) == [(30, 40)] and guard_splits(49) == [(30, 39), (31, 40)] and guard_splits(37) == [] == guard_splits(10)
+    for n in range(20, 3000):
+        first, val, last = max(30, n // 10), int(0.2 * n), n - int(0.2 * n) - int((1 - 0.6 - 0.2) * n)
+        ends = [e for e, _ in guard_splits(n)]
+        assert (ends == []) == (last < first) and {v - e for e, v in guard_splits(n)} <= {val}
+        if ends:
+            step = max(1, (last - first) // 4)
+            assert ends == [first + k * step for k in range(len(ends))] and ends[-1] <= last and (len(ends) == 5 or ends[-1] + step > last)
+
+
+def test_mutations():
+    m = Mutator(C, ["x", "y"], seed=9)
+    tree = parse("add(ts_mean_5(x), 0.5)")
+    for _ in range(40):
+        assert str(m.resize_window(tree)) in {f"add(ts_mean_{w}(x), 0.5)" for w in (10, 21, 63, 126, 252)}
+        assert str(m.swap_variable(tree)) == "add(ts_mean_5(y), 0.5)"
+        new = m.swap_operator(tree)
+        assert new != tree and new.size() == tree.size() and new.variables() == {"x"}
+    assert m.swap_variable(parse("abs(1.0)")) == parse("abs(1.0)") and m.resize_window(parse("abs(x)")) == parse("abs(x)")
+    rng = random.Random(2)
+    found = [leaf(rng, ["x"], 0.25) for _ in range(2000)]
+    share = sum(isinstance(e, Const) for e in found) / 2000
+    assert 0.2 < share < 0.3 and all(abs(e.value) <= 1 for e in found if isinstance(e, Const)) and isinstance(leaf(rng, []), Const)
+    s = AnnealingSchedule(1.0, 10, seed=0)
+    assert s.metropolis_accept(0.0, 0.5) and not s.metropolis_accept(0.0, 0.0) and s.metropolis_accept(1e-9, 0.0)
+
+
 def test_datasets(spark, tmp_path):
     loader = DatasetLoader(spark, str(tmp_path))
     assert loader.available_datasets() == ["sp500", "uci_appliances", "jena_climate"]
