@@ -7,8 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from .base import EPS, POS, Series, clamp, finite, full, ratio, zero
-from .statistical import pair_cov, quantile
+from .base import EPS, POS, Series, clamp, finite, full, let, of, ratio, zero
 
 
 def _simple(aggregate):
@@ -24,12 +23,6 @@ def _total(xs: Column, f) -> Column:
     return F.aggregate(xs, zero(), lambda t, x: t + F.coalesce(f(x), zero()))
 
 
-def _let(x: Column, f) -> Column:
-    """f of x, where x is computed once; an expression in a lambda is computed anew for
-    every element."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def ts_rank(s: Series, w: int, a: Column) -> Column:
     below = F.filter(F.collect_list(a).over(s.last(w)), lambda x: x <= a)
     return full(w, F.when(a.isNotNull(), F.size(below) / F.lit(float(w))))
@@ -46,22 +39,31 @@ def ts_delta(s: Series, w: int, a: Column) -> Column:
 
 
 def ts_pct_change(s: Series, w: int, a: Column) -> Column:
-    return _back(s, w, lambda lag: F.when(F.abs(lag(a)) > EPS, ratio(a - lag(a), F.abs(lag(a)) + EPS)).otherwise(zero()))
+    change = lambda a, x: F.when(F.abs(x) > EPS, ratio(a - x, F.abs(x) + EPS)).otherwise(zero())
+    return _back(s, w, lambda lag: let(lag(a), lambda x: change(a, x)))
 
 
 def ts_log_return(s: Series, w: int, a: Column) -> Column:
-    return _back(s, w, lambda lag: F.when((a > EPS) & (lag(a) > EPS), F.ln(ratio(a, lag(a)))).otherwise(zero()))
+    return _back(s, w, lambda lag: let(lag(a), lambda x: F.when((a > EPS) & (x > EPS), F.ln(ratio(a, x))).otherwise(zero())))
 
 
 def ts_momentum(s: Series, w: int, a: Column) -> Column:
-    return _back(s, w, lambda lag: F.when(F.abs(lag(a)) + EPS > EPS, ratio(a, F.abs(lag(a)) + EPS)).otherwise(zero()))
+    return _back(s, w, lambda lag: let(lag(a), lambda x: F.when(F.abs(x) + EPS > EPS, ratio(a, F.abs(x) + EPS)).otherwise(zero())))
 
 
 def ts_decay_linear(s: Series, w: int, a: Column) -> Column:
-    """Weights 1 to w, oldest first; a missing value adds nothing."""
-    xs = F.transform(F.collect_list(F.coalesce(a, zero())).over(s.last(w)), lambda x, i: x * (i + 1))
-    some = F.count(a).over(s.last(w)) > 0
-    return full(w, F.when(some, _total(xs, lambda x: x) * (2.0 / (w * (w + 1)))))
+    """Weights 1 to w, oldest first; a missing value adds nothing. In its block, row k of
+    this half weighs w - j + k and row k of the half before k - j, j the row here."""
+    k = ((F.col(POS) - 1) % w).cast("double")
+    halves = s.halves(w, n=F.count(a), s0=F.sum(a), s1=F.sum(k * a))
+
+    def value(t: Column, j: Column) -> Column:
+        sum_ = lambda part, name: F.coalesce(part[name], zero())
+        here = sum_(t, "s1") + (w - j) * sum_(t, "s0")
+        before = sum_(t["before"], "s1") - j * sum_(t["before"], "s0")
+        return F.when(t["n"] + F.coalesce(t["before"]["n"], F.lit(0)) > 0, (here + before) * (2.0 / (w * (w + 1))))
+
+    return full(w, let(halves, lambda t: value(t, k)))
 
 
 def _moment(k: int, less: float):
@@ -69,21 +71,20 @@ def _moment(k: int, less: float):
 
     def compile_(s: Series, w: int, a: Column) -> Column:
         r = s.last(w)
-        sd = F.stddev_pop(a).over(r)
         raw = F.skewness(a).over(r) if k == 3 else F.kurtosis(a).over(r) + 3
-        return full(w, F.when(sd > EPS, raw * F.pow(ratio(sd, sd + EPS), F.lit(float(k))) - less))
+        value = lambda t: F.when(t["sd"] > EPS, t["raw"] * F.pow(ratio(t["sd"], t["sd"] + EPS), F.lit(float(k))) - less)
+        return full(w, of(value, sd=F.stddev_pop(a).over(r), raw=raw))
 
     return compile_
 
 
 def ts_zscore(s: Series, w: int, a: Column) -> Column:
-    sd = F.stddev_pop(a).over(s.last(w))
-    return full(w, F.when(sd > EPS, ratio(a - F.avg(a).over(s.last(w)), sd)))
+    value = lambda t: F.when(t["sd"] > EPS, ratio(a - t["m"], t["sd"]))
+    return full(w, of(value, sd=F.stddev_pop(a).over(s.last(w)), m=F.avg(a).over(s.last(w))))
 
 
 def _information(x: Column, r: WindowSpec) -> Column:
-    sd = F.stddev_samp(x).over(r)
-    return F.when(sd > EPS, ratio(F.avg(x).over(r), sd))
+    return of(lambda t: F.when(t["sd"] > EPS, ratio(t["m"], t["sd"])), sd=F.stddev_samp(x).over(r), m=F.avg(x).over(r))
 
 
 def ts_ir(s: Series, w: int, a: Column) -> Column:
@@ -108,9 +109,9 @@ def ts_cumprod(s: Series, w: int, a: Column) -> Column:
 
 def ts_rsi(s: Series, w: int, a: Column) -> Column:
     step = a - F.lag(a).over(s.ordered)
-    gain = F.coalesce(F.sum(F.when(step > 0, step)).over(s.last(w)), zero())
-    loss = F.coalesce(F.sum(F.when(step < 0, -step)).over(s.last(w)), zero())
-    return F.when(F.col(POS) > w, ratio(100.0 * gain, gain + loss + EPS)).otherwise(zero())
+    total = lambda x: F.coalesce(F.sum(x).over(s.last(w)), zero())
+    parts = {"gain": total(F.when(step > 0, step)), "loss": total(F.when(step < 0, -step))}
+    return F.when(F.col(POS) > w, of(lambda t: ratio(100.0 * t["gain"], t["gain"] + t["loss"] + EPS), **parts)).otherwise(zero())
 
 
 def _full_windows(x: Column, s: Series, w: int) -> Column:
@@ -141,17 +142,19 @@ def ts_maxdrawdown(s: Series, w: int, a: Column) -> Column:
 def ts_autocorr(s: Series, w: int, a: Column) -> Column:
     """Mean of neighbouring centred products over the population variance."""
     r = s.last(w)
-    m, v = F.avg(a).over(r), F.var_pop(a).over(r)
-    xs = _values(a, s, w)
-    pairs = F.filter(F.zip_with(F.slice(xs, 1, w - 1), F.slice(xs, 2, w - 1), lambda x, y: (x - m) * (y - m)), lambda p: p.isNotNull())
-    mean = _let(pairs, lambda ps: ratio(_total(ps, lambda p: p), F.size(ps).cast("double")))
-    return full(w, F.when(F.sqrt(v) >= EPS, ratio(mean, v)))
+
+    def value(t: Column) -> Column:
+        products = F.zip_with(F.slice(t["xs"], 1, w - 1), F.slice(t["xs"], 2, w - 1), lambda x, y: (x - t["m"]) * (y - t["m"]))
+        mean = let(F.filter(products, lambda p: p.isNotNull()), lambda ps: ratio(_total(ps, lambda p: p), F.size(ps).cast("double")))
+        return F.when(F.sqrt(t["v"]) >= EPS, ratio(mean, t["v"]))
+
+    return full(w, of(value, m=F.avg(a).over(r), v=F.var_pop(a).over(r), xs=_values(a, s, w)))
 
 
 def ts_entropy(s: Series, w: int, a: Column) -> Column:
-    xs = F.collect_list(F.abs(a) + EPS).over(s.last(w))
-    total = F.sum(F.abs(a) + EPS).over(s.last(w))
-    return full(w, -_total(xs, lambda x: ratio(x, total) * F.ln(ratio(x, total) + EPS)))
+    x = F.abs(a) + EPS
+    value = lambda t: -_total(t["xs"], lambda x: ratio(x, t["sum"]) * F.ln(ratio(x, t["sum"]) + EPS))
+    return full(w, of(value, xs=F.collect_list(x).over(s.last(w)), sum=F.sum(x).over(s.last(w))))
 
 
 def ts_mad(s: Series, w: int, a: Column) -> Column:
@@ -161,7 +164,14 @@ def ts_mad(s: Series, w: int, a: Column) -> Column:
 
 
 def _quantiles(f):
-    return lambda s, w, a: full(w, f(lambda q: quantile(a, q, s.last(w))))
+    """All quantiles of a window from one sorted array."""
+
+    def at(x: Column, q: float) -> Column:
+        place = (F.size(x) - 1) * F.lit(q)
+        low, high = F.get(x, F.floor(place).cast("int")), F.get(x, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    return lambda s, w, a: full(w, let(F.sort_array(F.collect_list(a).over(s.last(w))), lambda x: f(lambda q: at(x, q))))
 
 
 def ts_range(s: Series, w: int, a: Column) -> Column:
@@ -182,32 +192,55 @@ def _both(w: int, r: WindowSpec, a: Column, b: Column, x: Column) -> Column:
     return full(w, F.when((F.count(a).over(r) > 0) & (F.count(b).over(r) > 0), x))
 
 
-def ts_corr(s: Series, w: int, a: Column, b: Column) -> Column:
-    r = s.last(w)
-    sa, sb = F.stddev_pop(a).over(r), F.stddev_pop(b).over(r)
-    return _both(w, r, a, b, F.when((sa >= EPS) & (sb >= EPS), ratio(pair_cov(a, b, r), sa * sb)))
+def _pair(s: Series, w: int, a: Column, b: Column, f) -> Column:
+    """f of the window's moments: means, variances of each column's own values, and the
+    covariance of statistical.pair_cov; NULL where a column is missing all through."""
+    both = a.isNotNull() & b.isNotNull()
+    own = {f"{k}{name}": g(x) for name, x in (("a", a), ("b", b)) for k, g in (("n", F.count), ("m", F.avg), ("v", F.var_pop))}
+    shared = {f"m{name}": F.avg(F.when(both, x)) for name, x in (("x", a), ("y", b))}
+    halves = s.halves(w, n=F.count_if(both), c=F.covar_pop(a, b), **own, **shared)
 
+    def joined(t: Column) -> Column:
+        q = t["before"]
+        get = lambda part, name: F.coalesce(part[name].cast("double"), zero())
 
-def ts_cov(s: Series, w: int, a: Column, b: Column) -> Column:
-    return _both(w, s.last(w), a, b, pair_cov(a, b, s.last(w)))
+        def moments(n: str, first: str, second: str, spread: str) -> tuple[Column, Column, Column]:
+            """Mean of `first`, and variance or covariance, of both halves together."""
+            n1, n2 = get(t, n), get(q, n)
+            step = ratio(n2, n1 + n2)
+            d1, d2 = get(q, first) - get(t, first), get(q, second) - get(t, second)
+            return n1 + n2, F.when(n1 > 0, get(t, first) + d1 * step).otherwise(get(q, first)), ratio(n1 * get(t, spread) + n2 * get(q, spread), n1 + n2) + F.when((n1 > 0) & (n2 > 0), d1 * d2 * step * (1 - step)).otherwise(zero())
+
+        (na, ma, va), (nb, mb, vb) = (moments(f"n{x}", f"m{x}", f"m{x}", f"v{x}") for x in "ab")
+        (n, mx, c), (_, my, _) = moments("n", "mx", "my", "c"), moments("n", "my", "mx", "c")
+        cov = F.when(n > 0, c + (mx - ma) * (my - mb))
+        return F.when((na > 0) & (nb > 0), F.struct(ma.alias("ma"), va.alias("va"), mb.alias("mb"), vb.alias("vb"), cov.alias("cov")))
+
+    return let(let(halves, joined), f)
+
+
+def _slope(t: Column) -> Column:
+    return F.when(t["vb"] >= EPS, ratio(t["cov"], t["vb"]))
 
 
-def _slope(s: Series, w: int, a: Column, b: Column) -> Column:
-    v = F.var_pop(b).over(s.last(w))
-    return F.when(v >= EPS, ratio(pair_cov(a, b, s.last(w)), v))
+def ts_corr(s: Series, w: int, a: Column, b: Column) -> Column:
+    sa, sb = (lambda t: F.sqrt(t["va"])), (lambda t: F.sqrt(t["vb"]))
+    return full(w, _pair(s, w, a, b, lambda t: F.when((sa(t) >= EPS) & (sb(t) >= EPS), ratio(t["cov"], sa(t) * sb(t)))))
+
+
+def ts_cov(s: Series, w: int, a: Column, b: Column) -> Column:
+    return full(w, _pair(s, w, a, b, lambda t: t["cov"]))
 
 
 def ts_regression(s: Series, w: int, a: Column, b: Column) -> Column:
-    return _both(w, s.last(w), a, b, _slope(s, w, a, b))
+    return full(w, _pair(s, w, a, b, _slope))
 
 
 def ts_residual(s: Series, w: int, a: Column, b: Column) -> Column:
     """Of the window's regression of a on b, at the last row; not guarded, so a missing
     value here stays missing."""
-    r = s.last(w)
-    slope = _slope(s, w, a, b)
-    rest = a - (F.avg(a).over(r) - slope * F.avg(b).over(r) + slope * b)
-    return F.when(F.col(POS) >= w, F.when(F.var_pop(b).over(r) < EPS, a).otherwise(rest)).otherwise(zero())
+    rest = lambda t: F.when(t["vb"] < EPS, a).otherwise(a - (t["ma"] - _slope(t) * t["mb"] + _slope(t) * b))
+    return F.when(F.col(POS) >= w, _pair(s, w, a, b, rest)).otherwise(zero())
 
 
 @lru_cache(maxsize=None)
@@ -253,8 +286,8 @@ def ts_granger(s: Series, w: int, a: Column, b: Column) -> Column:
 
 def ts_relative_strength(s: Series, w: int, a: Column, b: Column) -> Column:
     r = s.last(w)
-    mb = F.avg(b).over(r)
-    return _both(w, r, a, b, F.when(F.abs(mb) > EPS, ratio(F.avg(a).over(r), mb + EPS)))
+    value = lambda t: F.when(F.abs(t["mb"]) > EPS, ratio(t["ma"], t["mb"] + EPS))
+    return _both(w, r, a, b, of(value, ma=F.avg(a).over(r), mb=F.avg(b).over(r)))
 
 
 def ts_tracking_error(s: Series, w: int, a: Column, b: Column) -> Column:
@@ -267,8 +300,8 @@ def ts_information_ratio(s: Series, w: int, a: Column, b: Column) -> Column:
 
 def ts_cosine_sim(s: Series, w: int, a: Column, b: Column) -> Column:
     r = s.last(w)
-    na, nb = F.sqrt(F.sum(a * a).over(r)), F.sqrt(F.sum(b * b).over(r))
-    return full(w, F.when((na >= EPS) & (nb >= EPS), ratio(F.sum(a * b).over(r), na * nb)))
+    value = lambda t: F.when((t["na"] >= EPS) & (t["nb"] >= EPS), ratio(t["ab"], t["na"] * t["nb"]))
+    return full(w, of(value, ab=F.sum(a * b).over(r), na=F.sqrt(F.sum(a * a).over(r)), nb=F.sqrt(F.sum(b * b).over(r))))
 
 
 def ts_dtw(s: Series, w: int, a: Column, b: Column) -> Column:

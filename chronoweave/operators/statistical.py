@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from .base import EPS, POS, Series, clamp, finite, ratio, zero
+from .base import EPS, POS, Series, clamp, let, ratio, zero
+from .base import finite as _finite
+
+
+def finite(x: Column) -> Column:
+    return let(x, _finite)
 
 
 def pair_cov(a: Column, b: Column, w: WindowSpec) -> Column:
     """Population covariance where means are taken over each column's own values but the
-    products over rows that have both. Without missing values that is covar_pop."""
+    products over rows that have both: covar_pop, which skips the other rows, and what the
+    means of either kind differ by. Without missing values that is covar_pop."""
     both = a.isNotNull() & b.isNotNull()
-    n, na, nb = F.count_if(both).over(w), F.count(a).over(w), F.count(b).over(w)
-    sa, sb, sab = (F.sum(F.when(both, x)).over(w) for x in (a, b, a * b))
-    ma, mb = F.avg(a).over(w), F.avg(b).over(w)
-    apart = ratio(sab - ma * sb - mb * sa, n) + ma * mb
-    return F.when((n == na) & (n == nb), F.covar_pop(a, b).over(w)).when(n > 0, apart)
+    apart = [F.avg(F.when(both, x)).over(w) - F.avg(x).over(w) for x in (a, b)]
+    return F.covar_pop(a, b).over(w) + apart[0] * apart[1]
 
 
 def quantile(a: Column, q: float, w: WindowSpec) -> Column:
