@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.catalogue import ALIASES, WINDOWS, Family
 from .plans.compiler import CATALOGUE, SeriesFrame
+from .plans.lookback import UNBOUNDED, with_features_in_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +46,7 @@ def series(spark: SparkSession, sf_dir: str, key: str) -> SeriesFrame:
 
 
 def _one(call: str, key: str) -> Query:
-    """A feature as it is before the final clamp, so that no value hides behind it."""
+    """A feature with the clamp at the root, as users get it."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = series(spark, sf_dir, key).with_features({"x": call})
@@ -63,7 +64,10 @@ def _windows(base: str, arity: int) -> Query:
     args = _args(base, arity)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = series(spark, sf_dir, "event_type").with_features({f"w{w}": f"{base}_{w}({args})" for w in WINDOWS})
+        frame, features = series(spark, sf_dir, "event_type"), {f"w{w}": f"{base}_{w}({args})" for w in WINDOWS}
+        # Few and long series: one window partition each would be few tasks.
+        bounded = base not in UNBOUNDED
+        out = with_features_in_blocks(frame, features, F.date_trunc("hour", "ts")) if bounded else frame.with_features(features)
         return out.select("event_id", *(rounded(f"w{w}").alias(f"w{w}") for w in WINDOWS))
 
     return run

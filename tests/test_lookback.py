@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.plans.compiler import SeriesFrame
-from chronoweave.plans.lookback import lookback, with_features_by_bucket
+from chronoweave.plans.lookback import lookback, with_features_by_bucket, with_features_in_blocks
 from chronoweave.streaming.rolling import RollingStream
 
 FEATURES = {"z": "div(sub(a, ts_mean_5(a)), ts_std_5(a))", "d": "ts_delta_5(ts_max_10(a))"}
@@ -36,6 +36,21 @@ def test_buckets(spark, table):
         with_features_by_bucket(frame, {"m": "mean(a)"}, F.floor(F.col("t") / 50))
 
 
+def test_blocks(spark, table):
+    """Blocks of any size, whatever the coarse buckets hold: none, one row, or all."""
+    holes = table.withColumn("k", F.when(F.col("k") == "k1", None).otherwise(F.col("k")))
+    for df in (table, holes):
+        frame = SeriesFrame(df, ("k",), ("t",))
+        want = sorted(map(str, rows(frame.with_features(FEATURES))) if df is table else (str((r.t, round(r.z, 9), round(r.d, 9))) for r in frame.with_features(FEATURES).collect()))
+        for size, coarse in ((1, F.col("t")), (15, F.floor(F.col("t") / 7)), (40, F.lit(0)), (1000, F.floor(F.col("t") / 100))):
+            got = with_features_in_blocks(frame, FEATURES, coarse, size)
+            assert got.columns == [*df.columns, "z", "d"]
+            assert sorted(map(str, rows(got)) if df is table else (str((r.t, round(r.z, 9), round(r.d, 9))) for r in got.collect())) == want
+    alone = SeriesFrame(table.drop("k"), (), ("t",))
+    assert sorted(map(tuple, with_features_in_blocks(alone, FEATURES, F.floor(F.col("t") / 9), 20).collect())) == sorted(map(tuple, alone.with_features(FEATURES).collect()))
+    assert with_features_in_blocks(SeriesFrame(table.limit(0), ("k",), ("t",)), FEATURES, F.col("t")).count() == 0
+
+
 def test_stream(spark, table, tmp_path):
     want = rows(SeriesFrame(table, ("k",), ("t",)).with_features(FEATURES))
     for i in range(4):
