@@ -1,7 +1,7 @@
 """Registered queries of the feature engine and their SQL twins.
 
 One query per base operator, over the ``events`` table; rolling operators give a column
-per window. Values are rounded, so that the last digits of sums don't matter.
+per window. Five more cover forecast metrics, guards and scores. Values are rounded, so that the last digits of sums don't matter.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import metrics
 from .functions.catalogue import ALIASES, WINDOWS, Family
 from .plans.compiler import CATALOGUE, SeriesFrame
 from .plans.lookback import UNBOUNDED, with_features_in_blocks
+from .search import guards, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,8 +58,8 @@ def _one(call: str, key: str) -> Query:
 
 
 def _args(base: str, arity: int) -> str:
-    """Products over scaled values, which stay where rounding means something."""
-    return "mul(a, 0.015)" if base in ("cumprod", "ts_cumprod") else "a" if arity == 1 else "a, b"
+    """Products over factors near 1, which stay where rounding means something."""
+    return "add(mul(a, 0.004), 1)" if base in ("cumprod", "ts_cumprod") else "a" if arity == 1 else "a, b"
 
 
 def _windows(base: str, arity: int) -> Query:
@@ -116,7 +118,7 @@ STATISTICAL_SQL = {
     "beta": "CASE WHEN sdb * sdb < 1e-10 THEN 0 ELSE avg((a - m) * (b - mb)) OVER {S} / (sdb * sdb) END",
     "residual": "CASE WHEN sdb * sdb < 1e-10 THEN a ELSE a - m - avg((a - m) * (b - mb)) OVER {S} / (sdb * sdb) * (b - mb) END",
     "cumsum": "sum(a) OVER {U}",
-    "cumprod": "greatest(-1e9, least(1e9, product(a * 0.015) OVER {U}))",
+    "cumprod": "greatest(-1e9, least(1e9, product(a * 0.004 + 1) OVER {U}))",
     "cummax": "max(a) OVER {U}",
     "cummin": "min(a) OVER {U}",
     "pct_change": "CASE WHEN pos = 1 THEN 0 ELSE greatest(-1e9, least(1e9, (a - lag(a) OVER {O}) / (abs(lag(a) OVER {O}) + 1e-10))) END",
@@ -159,7 +161,7 @@ ROLLING_SQL: dict[str, tuple[list[str], str]] = {
     "ts_argmin": (["list(a) OVER {R}"], "CAST(list_position({i0}, list_min({i0})) - 1 AS DOUBLE)"),
     "ts_pct_change": (["lag(a, {w}) OVER {O}"], "CASE WHEN pos > {w} AND abs({i0}) > 1e-10 THEN (a - {i0}) / (abs({i0}) + 1e-10) ELSE 0 END"),
     "ts_log_return": (["lag(a, {w}) OVER {O}"], "CASE WHEN pos > {w} AND a > 1e-10 AND {i0} > 1e-10 THEN ln(greatest(a, 1e-10) / greatest({i0}, 1e-10)) ELSE 0 END"),
-    "ts_cumprod": (["product(a * 0.015) OVER {R}"], "{i0}"),
+    "ts_cumprod": (["product(a * 0.004 + 1) OVER {R}"], "{i0}"),
     "ts_momentum": (["lag(a, {w}) OVER {O}"], "CASE WHEN pos > {w} AND abs({i0}) + 1e-10 > 1e-10 THEN a / (abs({i0}) + 1e-10) ELSE 0 END"),
     "ts_rsi": (["sum(greatest(d, 0)) OVER {R}", "sum(greatest(-d, 0)) OVER {R}"], "CASE WHEN pos > {w} THEN 100 * {i0} / ({i0} + {i1} + 1e-10) ELSE 0 END"),
     "ts_maxdrawdown": (["list(a) OVER {R}"], "list_max(list_transform({i0}, lambda x, i: list_max({i0}[1:i]) - x))"),
@@ -186,8 +188,6 @@ ROLLING_SQL: dict[str, tuple[list[str], str]] = {
 }
 
 
-
-
 def _whole_sql(x: str) -> str:
     fill = {"S": "(PARTITION BY sid)", "O": "(PARTITION BY sid ORDER BY ts, event_id)", "U": "(PARTITION BY sid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
     return f"""WITH {EVENTS_SQL.format(key="user_id")},
@@ -241,4 +241,62 @@ def _build() -> tuple[dict[str, Query], dict[str, str]]:
     return queries, oracles
 
 
+def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two forecasts of a: b, and half of it."""
+    return events(spark, sf_dir).withColumn("c", F.col("b") * 0.5)
+
+
+def _rounded_all(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*(rounded(c).alias(c) if c in names else c for c in df.columns))
+
+
+def metric_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_all(metrics.errors(_forecasts(spark, sf_dir), "a", "b"), "mae", "rmse", "mape")
+
+
+def metric_diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.loss_covariances(_forecasts(spark, sf_dir), "a", "b", "c", ("ts", "event_id"), loss="absolute", h=3)
+    return _rounded_all(out, "mean", "g0", "g1", "g2")
+
+
+def guard_rolling_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_all(guards.rolling_r2(events(spark, sf_dir), "b", "a", ["user_id"], ["ts", "event_id"], 21), "r2")
+
+
+def guard_vif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factors = guards.inflation_factors(events(spark, sf_dir), ["a", "b"])
+    return _rounded_all(spark.createDataFrame(list(factors.items()), "feature string, vif double"), "vif")
+
+
+def score_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_all(scoring.ols_scores(events(spark, sf_dir), ["b"], "a", ["event_type"], ["ts", "event_id"]), "score")
+
+
+_EVENTS_BY_TYPE = EVENTS_SQL.format(key="event_type")
+EVALUATION_SQL = {
+    "metric_errors": f"""WITH {_EVENTS_BY_TYPE}
+SELECT {_round_sql("avg(abs(a - b))")} AS mae, {_round_sql("sqrt(avg((a - b) * (a - b)))")} AS rmse, {_round_sql("avg(abs((a - b) / (abs(a) + 1e-8)))")} AS mape FROM e""",
+    "metric_diebold_mariano": f"""WITH {_EVENTS_BY_TYPE},
+d AS (SELECT ts, event_id, abs(a - b) - abs(a - b * 0.5) AS d FROM e),
+m AS (SELECT count(d) AS n, avg(d) AS m FROM d),
+l AS (SELECT d, lag(d, 1) OVER (ORDER BY ts, event_id) AS d1, lag(d, 2) OVER (ORDER BY ts, event_id) AS d2 FROM d)
+SELECT max(n) AS n, {_round_sql("max(m)")} AS mean, {_round_sql("avg((d - m) * (d - m))")} AS g0, {_round_sql("avg((d - m) * (d1 - m))")} AS g1, {_round_sql("avg((d - m) * (d2 - m))")} AS g2 FROM l, m""",
+    "guard_rolling_r2": f"""WITH {EVENTS_SQL.format(key="user_id")},
+r AS (SELECT sid, pos, regr_r2(a, b) OVER (PARTITION BY sid ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS r2 FROM e)
+SELECT sid AS user_id, {_round_sql("coalesce(r2, 0)")} AS r2 FROM r WHERE pos >= 21""",
+    "guard_vif": f"""WITH {_EVENTS_BY_TYPE}, v AS (SELECT 1 / (1 - regr_r2(a, b)) AS v FROM e)
+SELECT f AS feature, {_round_sql("v")} AS vif FROM v, (VALUES ('a'), ('b')) AS names(f)""",
+    # Five folds after 63 rows; a fold trains on all rows before its test rows.
+    "score_ols": f"""WITH {_EVENTS_BY_TYPE},
+n AS (SELECT sid, count(*) AS n, greatest(1, (count(*) - 63) // 6) AS step FROM e GROUP BY sid),
+f AS (SELECT sid, w, 63 + w * step AS cut, least(63 + (w + 1) * step, n) AS stop FROM n, range(1, 6) AS t(w) WHERE n - 63 >= 5
+      UNION ALL SELECT sid, 1, 63, n FROM n WHERE n - 63 BETWEEN 1 AND 4),
+train AS (SELECT sid, w, regr_slope(a, b) AS k, regr_intercept(a, b) AS c FROM e JOIN f USING (sid) WHERE pos <= cut GROUP BY sid, w),
+test AS (SELECT sid, w, count(*) AS m, sum(pow(a - k * b - c, 2)) AS ss, var_pop(a) * count(*) AS yy FROM e JOIN f USING (sid) JOIN train USING (sid, w) WHERE pos > cut AND pos <= stop GROUP BY sid, w),
+parts AS (SELECT sid, avg(1 - ss / yy - 0.01 * (m * ln(ss / m) + 2 * ln(m)) / m) AS s FROM test GROUP BY sid)
+SELECT n.sid AS event_type, 'b' AS feature, {_round_sql("s")} AS score FROM n LEFT JOIN parts USING (sid) WHERE s IS NOT NULL""",
+}
+
 QUERIES, ORACLES = _build()
+QUERIES |= {q.__name__: q for q in (metric_errors, metric_diebold_mariano, guard_rolling_r2, guard_vif, score_ols)}
+ORACLES |= EVALUATION_SQL
