@@ -49,6 +49,11 @@ class DatasetLoader:
         self.dataset_info(name)
         return getattr(self, f"_load_{name}")()
 
+    def load_split(self, name: str) -> tuple[DataFrame, DataFrame]:
+        """Features and target apart, both with ``ts``, by which they belong together."""
+        df, target = self.load(name), SPECS[name].target
+        return df.drop(target), df.select("ts", target)
+
     def _csv(self, path: str, time: str, pattern: str | None = None) -> DataFrame:
         df = self.spark.read.csv(f"{self.data_dir}/{path}", header=True, inferSchema=False)
         ts = F.to_timestamp(F.col(f"`{time}`"), pattern) if pattern else F.to_timestamp(F.col(f"`{time}`"))

@@ -32,6 +32,14 @@ def test_catalogue(spark):
     assert C.to_df(spark).groupBy("family").count().count() == 4
 
 
+def test_public_names():
+    import chronoweave
+
+    assert all(hasattr(chronoweave, n) for n in chronoweave.__all__) and chronoweave.Catalogue is Catalogue
+    with pytest.raises(AttributeError):
+        chronoweave.nothing
+
+
 def test_expressions():
     rng = random.Random(1)
     for i in range(50):
@@ -308,3 +316,9 @@ def test_datasets(spark, tmp_path):
     (tmp_path / "jena_climate" / "jena_climate_2009_2016.csv").write_text("\n".join(lines))
     df = loader.load("jena_climate")
     assert df.count() == 24 and df.orderBy("ts").first()["temperature_6h"] == 36.5
+    for name, text in (("sp500/sp500.csv", "date,return_0,realized_vol_21d\n2024-01-02,0.5,0.1\n2024-01-03,,0.2\n"), ("uci_appliances/energydata_complete.csv", "date,Appliances,T1\n2016-01-11 17:00:00,60,19.9\n")):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(text)
+    assert [tuple(r)[1:] for r in loader.load("sp500").orderBy("ts").collect()] == [(0.5, 0.1), (None, 0.2)]
+    features, target = loader.load_split("uci_appliances")
+    assert features.columns == ["ts", "T1"] and target.columns == ["ts", "energy_wh"] and target.first()["energy_wh"] == 60.0
