@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.places import blocks, placed
+
 
 def mae(y: str, p: str) -> Column:
     return F.avg(F.abs(F.col(y) - F.col(p)))
@@ -58,26 +60,30 @@ class DieboldMariano:
     preferred: str | None  # model_a, model_b, or none if the test sees no difference
 
 
-def loss_covariances(df: DataFrame, y: str, a: str, b: str, order: tuple[str, ...], *, loss: str = "squared", h: int = 1) -> DataFrame:
+def loss_covariances(df: DataFrame, y: str, a: str, b: str, order: tuple[str, ...], *, loss: str = "squared", h: int = 1, coarse: Column | None = None) -> DataFrame:
     """One row: n, the mean difference of losses, and its autocovariances g0 to g(h-1), each
-    the mean of its own n - k products. Without lags (h = 1) it is a plain aggregate; lags
-    need the forecasts in order, in one task."""
+    the mean of its own n - k products. Without lags (h = 1) it is a plain aggregate. Lags
+    need the forecasts in order: in blocks of places if ``coarse`` is given (see
+    ``placed()``), else in one task."""
     if loss not in ("squared", "absolute"):
         raise ValueError("loss is squared or absolute")
     cost = (lambda p: F.pow(F.col(y) - F.col(p), F.lit(2.0))) if loss == "squared" else (lambda p: F.abs(F.col(y) - F.col(p)))
-    d = df.select(*order, (cost(a) - cost(b)).alias("_cw_d"))
+    d = df.select(*order, (cost(a) - cost(b)).alias("_cw_d"), *([] if coarse is None else [coarse.alias("_cw_coarse")]))
     mean = F.broadcast(d.agg(F.count("_cw_d").alias("n"), F.avg("_cw_d").alias("mean")))  # one row
-    w = Window.partitionBy(F.lit(0)).orderBy(*order)
-    lags = d.select("_cw_d", *(F.lag("_cw_d", k).over(w).alias(f"_cw_{k}") for k in range(1, h)))
+    if coarse is None or h == 1:
+        rows, w = d.withColumn("_cw_own", F.lit(True)), Window.partitionBy(F.lit(0)).orderBy(*order)
+    else:
+        rows, w = blocks(placed(d, (), order, F.col("_cw_coarse")), h - 1), Window.partitionBy("_cw_no").orderBy("_cw_place")
+    lags = rows.select("_cw_d", "_cw_own", *(F.lag("_cw_d", k).over(w).alias(f"_cw_{k}") for k in range(1, h))).filter("_cw_own")
     c = F.col("_cw_d") - F.col("mean")
     others = [c, *(F.col(f"_cw_{k}") - F.col("mean") for k in range(1, h))]
     return lags.crossJoin(mean).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), *(F.avg(c * x).alias(f"g{k}") for k, x in enumerate(others)))
 
 
-def diebold_mariano(df: DataFrame, y: str, a: str, b: str, order: tuple[str, ...], *, loss: str = "squared", h: int = 1, alpha: float = 0.05) -> DieboldMariano:
+def diebold_mariano(df: DataFrame, y: str, a: str, b: str, order: tuple[str, ...], *, loss: str = "squared", h: int = 1, alpha: float = 0.05, coarse: Column | None = None) -> DieboldMariano:
     """Whether forecasts a and b of one series differ, with the correction for short
     samples."""
-    row = loss_covariances(df, y, a, b, order, loss=loss, h=h).first()
+    row = loss_covariances(df, y, a, b, order, loss=loss, h=h, coarse=coarse).first()
     n = row["n"] or 0
     if n < 3:
         raise ValueError("at least three rows are needed")

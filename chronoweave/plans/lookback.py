@@ -17,6 +17,7 @@ from ..functions.catalogue import Family
 from . import compiler
 from .compiler import SeriesFrame
 from .expression import Call, Expr, parse
+from .places import blocks, placed
 
 #: The only rolling operator that remembers all earlier rows.
 UNBOUNDED = {"ts_ema"}
@@ -61,9 +62,9 @@ def with_features_by_bucket(frame: SeriesFrame, features: Mapping[str, Expr | st
     same = F.lit(True)
     for k, n in named.items():
         same = same & F.col(k).eqNullSafe(F.col(n))
-    placed = rows.join(numbered, same).drop("_cw_bucket", *named.values())
+    joined = rows.join(numbered, same).drop("_cw_bucket", *named.values())
     back = Window.partitionBy(*keys, "_cw_no").orderBy(*(F.col(c).desc() for c in frame.order))
-    ends = placed.withColumn("_cw_from_end", F.row_number().over(back))
+    ends = joined.withColumn("_cw_from_end", F.row_number().over(back))
     halo = ends.filter((F.col("_cw_from_end") <= far) & ~F.col("_cw_last")).withColumn("_cw_no", F.col("_cw_no") + 1).withColumn("_cw_own", F.lit(False))
     both = ends.withColumn("_cw_own", F.lit(True)).unionByName(halo).drop("_cw_from_end", "_cw_last")
     out = SeriesFrame(both, (*frame.keys, "_cw_no"), frame.order).with_features(features, **options)
@@ -73,27 +74,11 @@ def with_features_by_bucket(frame: SeriesFrame, features: Mapping[str, Expr | st
 def with_features_in_blocks(frame: SeriesFrame, features: Mapping[str, Expr | str], coarse: Column, rows: int = 4096, **options) -> DataFrame:
     """As SeriesFrame.with_features(), in window partitions of about ``rows`` rows.
 
-    ``coarse`` must not decrease along the order (an hour of the timestamp, say); no other
-    demand is made of it. Counts per coarse bucket, summed along each series, and row
-    numbers inside buckets give every row its place in the series without a window over the
-    whole of it. Blocks are ranges of places; each is given the rows before it that the
-    expressions look back to. A series of any length is spread over as many tasks as it has
-    blocks, as long as a coarse bucket fits one task.
+    Rows get their places as by ``placed()``; blocks are ranges of places, each given the
+    rows before it that the expressions look back to. A series of any length is spread over
+    as many tasks as it has blocks, as long as a coarse bucket fits one task.
     """
     far = bounded_lookback(features)
-    size, keys = max(rows, far), list(frame.keys)
-    named = frame.df.withColumn("_cw_bucket", coarse)
-    counts = named.groupBy(*keys, "_cw_bucket").agg(F.count(F.lit(1)).alias("_cw_rows"))
-    earlier = Window.partitionBy(*(keys or [F.lit("")])).orderBy("_cw_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    other = {k: f"_cw_key_{i}" for i, k in enumerate([*keys, "_cw_bucket"])}
-    sums = counts.select(*(F.col(k).alias(n) for k, n in other.items()), F.coalesce(F.sum("_cw_rows").over(earlier), F.lit(0)).alias("_cw_base"))
-    same = F.lit(True)
-    for k, n in other.items():
-        same = same & F.col(k).eqNullSafe(F.col(n))
-    inside = Window.partitionBy(*keys, "_cw_bucket").orderBy(*frame.order)
-    placed = named.join(sums, same).withColumn("_cw_place", F.col("_cw_base") + F.row_number().over(inside) - 1)
-    own, late = F.floor(F.col("_cw_place") / size), F.col("_cw_place") % size >= size - far
-    both = placed.withColumn("_cw_no", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("_cw_own", F.col("_cw_no") == own)
-    both = both.drop("_cw_bucket", "_cw_base", "_cw_place", *other.values())
+    both = blocks(placed(frame.df, frame.keys, frame.order, coarse), far, rows).drop("_cw_place", "_cw_total")
     out = SeriesFrame(both, (*frame.keys, "_cw_no"), frame.order).with_features(features, **options)
     return out.filter("_cw_own").drop("_cw_own", "_cw_no")

@@ -255,12 +255,12 @@ def metric_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.loss_covariances(_forecasts(spark, sf_dir), "a", "b", "c", ("ts", "event_id"), loss="absolute", h=3)
+    out = metrics.loss_covariances(_forecasts(spark, sf_dir), "a", "b", "c", ("ts", "event_id"), loss="absolute", h=3, coarse=F.date_trunc("hour", "ts"))
     return _rounded_all(out, "mean", "g0", "g1", "g2")
 
 
 def guard_rolling_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_all(guards.rolling_r2(events(spark, sf_dir), "b", "a", ["user_id"], ["ts", "event_id"], 21), "r2")
+    return _rounded_all(guards.rolling_r2(events(spark, sf_dir), "b", "a", ["user_id"], ["ts", "event_id"], 21, coarse=F.date_trunc("hour", "ts")), "r2")
 
 
 def guard_vif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +269,7 @@ def guard_vif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_all(scoring.ols_scores(events(spark, sf_dir), ["b"], "a", ["event_type"], ["ts", "event_id"]), "score")
+    return _rounded_all(scoring.ols_scores(events(spark, sf_dir), ["b"], "a", ["event_type"], ["ts", "event_id"], coarse=F.date_trunc("hour", "ts")), "score")
 
 
 _EVENTS_BY_TYPE = EVENTS_SQL.format(key="event_type")

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scoring import fold_scores, guard_splits, validation_r2
+from ..plans.places import blocks, placed
+from .scoring import fold_scores, guard_cuts, guard_splits, validation_r2
 
 
 def inflation_factors(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
@@ -43,11 +44,14 @@ def _factors(features: list[str], cov: np.ndarray) -> dict[str, float]:
     return out
 
 
-def rolling_r2(df: DataFrame, feature: str, target: str, keys: Sequence[str], order: Sequence[str], window: int) -> DataFrame:
-    """(keys, r2) of every full window; 0 where the feature is constant."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-    r2 = F.coalesce(F.regr_r2(F.col(target), F.col(feature)).over(w.rowsBetween(-(window - 1), 0)), F.lit(0.0))
-    return df.select(*keys, r2.alias("r2"), F.row_number().over(w).alias("_cw_i")).filter(F.col("_cw_i") >= window).drop("_cw_i")
+def rolling_r2(df: DataFrame, feature: str, target: str, keys: Sequence[str], order: Sequence[str], window: int, coarse: Column | None = None) -> DataFrame:
+    """(keys, r2) of every full window; 0 where the feature is constant. With ``coarse``
+    (see ``placed()``) no task holds a whole series."""
+    rows = blocks(placed(df, keys, order, coarse), window - 1)
+    last = Window.partitionBy(*keys, "_cw_no").orderBy("_cw_place").rowsBetween(-(window - 1), 0)
+    r2 = F.coalesce(F.regr_r2(F.col(target), F.col(feature)).over(last), F.lit(0.0))
+    full = F.col("_cw_own") & (F.col("_cw_place") >= window - 1)
+    return rows.select(*keys, r2.alias("r2"), full.alias("_cw_full")).filter("_cw_full").drop("_cw_full")
 
 
 @dataclass
@@ -61,21 +65,23 @@ class OverfittingGuard:
     val_share: float = 0.2
     removed: dict[str, str] = field(default_factory=dict)
 
-    def filter(self, df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (), order: Sequence[str] = ()) -> list[str]:
+    def filter(self, df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (), order: Sequence[str] = (), coarse: Column | None = None) -> list[str]:
         """Features that pass all three stages; ``removed`` tells where others fell.
-        Rows with a missing value in any column used are left out first."""
+        Rows with a missing value in any column used are left out first. With ``coarse``
+        (see ``placed()``) no task holds a whole series."""
         self.removed = {}
-        rows = df.select(*keys, *order, target, *features).dropna(subset=[target, *features])
+        bucket = [] if coarse is None else [coarse.alias("_cw_coarse")]
+        rows = df.select(*keys, *order, target, *features, *bucket).dropna(subset=[target, *features])
         keep = list(features)
         for name, stage in (("vif", self._vif), ("stability", self._stable), ("validation", self._valid)):
             if not keep:
                 break
-            left = stage(rows, keep, target, list(keys), list(order))
+            left = stage(rows, keep, target, list(keys), list(order), F.col("_cw_coarse") if bucket else None)
             self.removed |= {f: name for f in keep if f not in left}
             keep = left
         return keep
 
-    def _vif(self, df, features, target, keys, order) -> list[str]:
+    def _vif(self, df, features, target, keys, order, coarse=None) -> list[str]:
         cov, keep = _covariances(df, features), list(features)
         while len(keep) > 1:
             at = [features.index(f) for f in keep]
@@ -86,31 +92,31 @@ class OverfittingGuard:
             keep.remove(worst)
         return keep
 
-    def _stable(self, df, features, target, keys, order) -> list[str]:
+    def _stable(self, df, features, target, keys, order, coarse=None) -> list[str]:
         """The range of rolling R squared within `stability_factor` sample deviations, on
         average over series. A series' window is a third of its rows, `window` at most;
         series whose window is under 10 rows have no vote, and if none has, all pass. Note
         that few series can pass at the default of 2."""
-        by = Window.partitionBy(*(keys or [F.lit(0)]))
-        size = F.least(F.lit(self.window), F.floor(F.count("*").over(by) / 3))
-        rows = df.withColumns({"_cw_i": F.row_number().over(by.orderBy(*order)), "_cw_w": size}).filter("_cw_w >= 10")
+        rows = placed(df, keys, order, coarse).withColumn("_cw_w", F.least(F.lit(self.window), F.floor(F.col("_cw_total") / 3)))
+        rows = blocks(rows.filter("_cw_w >= 10"), self.window)
         # Positions in units of the series' window: one frame, just short of a unit, spans
         # each series' own number of rows.
         unit = 4096 * self.window
-        rows = rows.withColumn("_cw_at", F.floor(F.col("_cw_i") * unit / F.col("_cw_w")))
-        last = by.orderBy("_cw_at").rangeBetween(-(unit - 2048), 0)
-        r2 = rows.select(*keys, "_cw_i", "_cw_w", *(F.coalesce(F.regr_r2(F.col(target), F.col(f)).over(last), F.lit(0.0)).alias(f) for f in features)).filter("_cw_i >= _cw_w")
+        rows = rows.withColumn("_cw_at", F.floor((F.col("_cw_place") + 1) * unit / F.col("_cw_w")))
+        last = Window.partitionBy(*keys, "_cw_no").orderBy("_cw_at").rangeBetween(-(unit - 2048), 0)
+        r2 = rows.select(*keys, (F.col("_cw_own") & (F.col("_cw_place") + 1 >= F.col("_cw_w"))).alias("_cw_full"), *(F.coalesce(F.regr_r2(F.col(target), F.col(f)).over(last), F.lit(0.0)).alias(f) for f in features)).filter("_cw_full")
         per = r2.groupBy(*keys).agg(*(((F.max(f) - F.min(f)) <= self.stability_factor * F.coalesce(F.stddev_samp(f), F.lit(0.0)) + 1e-15).cast("double").alias(f) for f in features))
         row = per.agg(F.count("*").alias("_cw_n"), *(F.avg(f).alias(f) for f in features)).first()
         if not row["_cw_n"] or row[features[0]] is None:
             return features
         return [f for f in features if (row[f] or 0.0) > 0.5]
 
-    def _valid(self, df, features, target, keys, order) -> list[str]:
+    def _valid(self, df, features, target, keys, order, coarse=None) -> list[str]:
         splits = lambda n: guard_splits(n, self.folds, self.train_share, self.val_share)
+        cuts = lambda n: guard_cuts(n, self.folds, self.train_share, self.val_share)
         n = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if not splits(n):
             return features
-        rows = fold_scores(df, features, target, keys, order, splits, validation_r2).groupBy("feature").agg(F.avg("score").alias("s")).collect()
+        rows = fold_scores(df, features, target, keys, order, splits, cuts, validation_r2, coarse=coarse).groupBy("feature").agg(F.avg("score").alias("s")).collect()
         found = {r["feature"]: r["s"] for r in rows}
         return [f for f in features if found.get(f) is not None and found[f] >= self.min_r2]

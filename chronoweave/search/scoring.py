@@ -13,9 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.places import placed
+
 
 @dataclass(frozen=True)
 class Moments:
@@ -68,26 +70,44 @@ def guard_splits(n: int, folds: int = 5, train_share: float = 0.6, val_share: fl
     return [(first + k, first + k + val) for k in range(0, min(room, step * (folds - 1)) + 1, step)]
 
 
-def _segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], bounds) -> DataFrame:
-    """Add _cw_i (row number from 0) and _cw_n (rows of the series)."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    return df.withColumn("_cw_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_cw_n", F.count(F.lit(1)).over(w))
+def _floor(c: Column) -> Column:
+    return F.floor(c).cast("long")
+
+
+def expanding_cuts(n: Column, windows: int = 5, min_train: int = 63) -> Column:
+    """All ends in expanding_splits(n), ascending, for a column of lengths."""
+    n, usable = n.cast("long"), n.cast("long") - min_train
+    step = F.greatest(F.lit(1), _floor(usable / (windows + 1)))
+    ends = F.array_distinct(F.array(*(F.least(min_train + w * step, n) for w in range(1, windows + 2))))
+    return F.when(usable >= windows, ends).when(usable > 0, F.array(F.lit(min_train).cast("long"), n)).otherwise(F.array().cast("array<long>"))
+
+
+def guard_cuts(n: Column, folds: int = 5, train_share: float = 0.6, val_share: float = 0.2) -> Column:
+    """All ends in guard_splits(n), ascending, for a column of lengths."""
+    n = n.cast("long")
+    first = F.greatest(F.lit(30), _floor(n * 0.1))
+    val = F.greatest(F.lit(1), _floor(n * val_share))
+    held = F.greatest(F.lit(1), _floor(n * (1.0 - train_share - val_share)))
+    room = n - held - val - first
+    step = F.greatest(F.lit(1), _floor(room / max(1, folds - 1)))
+    starts = F.filter(F.array(*(first + k * step for k in range(max(1, folds)))), lambda c: c <= first + room)
+    return F.sort_array(F.array_distinct(F.concat(starts, F.transform(starts, lambda c: c + val))))
 
 
-def fold_scores(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], order: Sequence[str], splits, finish, name: str = "score") -> DataFrame:
+def fold_scores(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], order: Sequence[str], splits, cuts, finish, name: str = "score", coarse: Column | None = None) -> DataFrame:
     """(keys, feature, score) where finish(train, test) gives a fold's part and the
-    parts are averaged; NULL without folds. Cuts between folds are at most twice the
-    folds, so each series sends a bounded number of rows."""
-    rows = _segments(df.select(*keys, *order, F.col(target).cast("double").alias("_cw_y"), *(F.col(f).cast("double") for f in features)), keys, order, splits)
-
-    cuts = F.udf(lambda n: sorted({x for pair in splits(n) for x in pair}), "array<int>")
-    sizes = rows.groupBy(*keys).agg(F.max("_cw_n").alias("_cw_n")).withColumn("_cw_cuts", cuts("_cw_n"))
-    joined = rows.drop("_cw_n").join(sizes, list(keys)) if keys else rows.drop("_cw_n").crossJoin(F.broadcast(sizes))  # without keys: one row
-    seg = F.size(F.filter("_cw_cuts", lambda c: c <= F.col("_cw_i")))
+    parts are averaged; NULL without folds. ``splits`` gives the folds of a length, ``cuts``
+    their ends as a column. They are at most twice the folds, so each series sends a bounded
+    number of rows. With ``coarse`` (see ``placed()``) no task holds a whole series."""
+    bucket = [] if coarse is None else [coarse.alias("_cw_coarse")]
+    rows = df.select(*keys, *order, F.col(target).cast("double").alias("_cw_y"), *(F.col(f).cast("double") for f in features), *bucket)
+    rows = placed(rows, keys, order, F.col("_cw_coarse") if bucket else None).withColumnRenamed("_cw_total", "_cw_n")
+    rows = rows.withColumn("_cw_cuts", cuts(F.col("_cw_n")))
+    seg = F.size(F.filter("_cw_cuts", lambda c: c <= F.col("_cw_place")))
     aggs = [F.count("_cw_y").alias("n"), F.avg("_cw_y").alias("my"), F.var_pop("_cw_y").alias("vy")]
     for i, f in enumerate(features):
         aggs += [F.avg(f).alias(f"m{i}"), F.var_pop(f).alias(f"v{i}"), F.covar_pop(f, "_cw_y").alias(f"c{i}")]
-    moments = joined.filter(F.size("_cw_cuts") > 0).groupBy(*keys, "_cw_n", seg.alias("seg")).agg(*aggs)
+    moments = rows.filter(F.size("_cw_cuts") > 0).groupBy(*keys, "_cw_n", seg.alias("seg")).agg(*aggs)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["_cw_n"].iloc[0])
@@ -130,8 +150,9 @@ def validation_r2(train: Moments, test: Moments) -> float | None:
     return 1 - ss / test.yy if test.yy > 0 else float(ss == 0)
 
 
-def ols_scores(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (), order: Sequence[str] = (), windows: int = 5, min_train: int = 63, penalty: float = 0.01) -> DataFrame:
-    return fold_scores(df, features, target, keys, order, lambda n: expanding_splits(n, windows, min_train), ols_part(penalty))
+def ols_scores(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (), order: Sequence[str] = (), windows: int = 5, min_train: int = 63, penalty: float = 0.01, coarse: Column | None = None) -> DataFrame:
+    splits, cuts = (lambda n: expanding_splits(n, windows, min_train)), (lambda n: expanding_cuts(n, windows, min_train))
+    return fold_scores(df, features, target, keys, order, splits, cuts, ols_part(penalty), coarse=coarse)
 
 
 class Mlp:

@@ -14,7 +14,7 @@ from chronoweave.plans.expression import Call, Const, Mutator, Var, grow, grow_f
 from chronoweave.search import models
 from chronoweave.search.annealing import AnnealingSchedule, FeatureSearch, ols_scorer
 from chronoweave.search.guards import OverfittingGuard, inflation_factors, rolling_r2
-from chronoweave.search.scoring import DualScorer, Mlp, expanding_splits, guard_splits, mlp_scores, ols_scores
+from chronoweave.search.scoring import DualScorer, Mlp, expanding_cuts, expanding_splits, guard_cuts, guard_splits, mlp_scores, ols_scores
 from chronoweave.sources.datasets import DatasetLoader
 
 C = Catalogue(seed=42)
@@ -283,6 +283,31 @@ def test_guard_splits():
             assert ends == [first + k * step for k in range(len(ends))] and ends[-1] <= last and (len(ends) == 5 or ends[-1] + step > last)
 
 
+def test_cuts(spark):
+    ends = lambda pairs: sorted({x for p in pairs for x in p})
+    lengths = spark.range(3000).withColumnRenamed("id", "n")
+    cases = [(lambda n: expanding_splits(n), lambda n: expanding_cuts(n)), (lambda n: expanding_splits(n, 3, 10), lambda n: expanding_cuts(n, 3, 10))]
+    cases += [((lambda n, f=f, t=t, v=v: guard_splits(n, f, t, v)), (lambda n, f=f, t=t, v=v: guard_cuts(n, f, t, v))) for f, t, v in ((5, 0.6, 0.2), (1, 0.6, 0.2), (3, 0.7, 0.15))]
+    for splits, cuts in cases:
+        for r in lengths.select("n", cuts(F.col("n")).alias("c")).collect():
+            assert r.c == ends(splits(r.n)), r.n
+
+
+def test_long_series_in_blocks(spark):
+    """Without a coarse bucket and with one, over more rows than a block holds."""
+    df = spark.range(9000).select(F.col("id").alias("t"), (F.col("id") % 3 == 0).alias("s"), F.sin(F.col("id") / 50).alias("f"), (F.sin(F.col("id") / 50) + F.cos(F.col("id") * 7)).alias("y"), F.cos(F.col("id") * 3).alias("p")).repartition(5)
+    coarse = F.floor(F.col("t") / 100)
+    for keys in ([], ["s"]):
+        rows = lambda c: sorted(map(str, rolling_r2(df, "f", "y", keys, ["t"], 40, c).selectExpr(*keys, "round(r2, 6)").collect()))
+        assert rows(None) == rows(coarse)
+        score = lambda c: [(r.feature, *(r[k] for k in keys), round(r.score, 9)) for r in ols_scores(df, ["f", "p"], "y", keys, ["t"], coarse=c).orderBy(*keys, "feature").collect()]
+        assert score(None) == score(coarse) and len(score(None)) == 2 * 2 ** len(keys)
+        guard = lambda c: OverfittingGuard(stability_factor=6.0).filter(df, ["f", "p"], "y", keys, ["t"], c)
+        assert guard(None) == guard(coarse)
+    dm = lambda c: metrics.diebold_mariano(df, "y", "f", "p", ("t",), h=4, coarse=c)
+    assert dm(None).dm_statistic == pytest.approx(dm(coarse).dm_statistic, rel=1e-9)
+
+
 def test_mutations():
     m = Mutator(C, ["x", "y"], seed=9)
     tree = parse("add(ts_mean_5(x), 0.5)")
