@@ -188,6 +188,19 @@ ROLLING_SQL: dict[str, tuple[list[str], str]] = {
 }
 
 
+def _bin_sql(x: str, low: str, high: str, bins: int = 5) -> str:
+    """How many inner edges of equal-width bins a value has reached."""
+    return "(" + " + ".join(f"CAST({x} >= {low} + {i} * (({high} - {low}) / {bins}.0) AS INTEGER)" for i in range(1, bins)) + ")"
+
+
+#: The entropies of both columns' bins less that of their pairs, in nats.
+_BIN_A, _BIN_B = _bin_sql("x", "{i2}", "{i3}"), _bin_sql("y", "{i4}", "{i5}")
+ROLLING_SQL["ts_mutual_info"] = (
+    ["list(a) OVER {R}", "list(b) OVER {R}", "min(a) OVER {R}", "max(a) OVER {R}", "min(b) OVER {R}", "max(b) OVER {R}"],
+    f"ln(2) * (list_entropy(list_transform({{i0}}, lambda x: {_BIN_A})) + list_entropy(list_transform({{i1}}, lambda y: {_BIN_B})) - list_entropy(list_transform({{i0}}, lambda x, i: 5 * {_BIN_A} + {_BIN_B.replace('y >=', '{i1}[i] >=')})))",
+)
+
+
 def _whole_sql(x: str) -> str:
     fill = {"S": "(PARTITION BY sid)", "O": "(PARTITION BY sid ORDER BY ts, event_id)", "U": "(PARTITION BY sid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
     return f"""WITH {EVENTS_SQL.format(key="user_id")},
