@@ -135,6 +135,67 @@ def test_rolling_with_missing(spark):
         np.testing.assert_allclose(got[n], frames(w, f, a, b), atol=1e-9, err_msg=n)
 
 
+@pytest.mark.filterwarnings("ignore")
+def test_whole_series_with_missing(spark):
+    """All operators over a whole series, with holes, after a constant column, and with no
+    value at all."""
+    mean, sd, q = np.nanmean, np.nanstd, np.nanquantile
+    eps = 1e-10
+
+    def scaled(top, width):
+        return top / width if width >= eps else np.zeros(len(top))
+
+    def moment(x, k, less):
+        return np.nanmean((x - mean(x)) ** k) / sd(x) ** k - less if sd(x) >= eps else 0.0
+
+    def over(x, spread):
+        return mean(x) / spread if spread > eps else 0.0
+
+    def order(x):
+        return np.argsort(np.argsort(np.nan_to_num(x), kind="stable"), kind="stable").astype(float)
+
+    def slope(x, y):
+        return cov(x, y) / np.nanvar(y) if np.nanvar(y) >= eps else 0.0
+
+    def change(x):
+        back = np.r_[np.nan, x[:-1]]
+        return np.nan_to_num((x - back) / (np.abs(back) + eps))
+
+    one = {
+        "mean": mean, "median": np.nanmedian, "std": sd, "var": np.nanvar, "iqr": lambda x: q(x, 0.75) - q(x, 0.25), "mad": lambda x: mean(np.abs(x - mean(x))),
+        **{f"quantile_{k}": lambda x, k=k: q(x, k / 100) for k in (10, 25, 75, 90)},
+        "skew": lambda x: moment(x, 3, 0), "kurtosis": lambda x: moment(x, 4, 3),
+        "zscore": lambda x: scaled(x - mean(x), sd(x)), "min_max_scale": lambda x: scaled(x - np.nanmin(x), np.nanmax(x) - np.nanmin(x)), "robust_scale": lambda x: scaled(x - np.nanmedian(x), q(x, 0.75) - q(x, 0.25)),
+        "sharpe": lambda x: over(x, sd(x)), "sortino": lambda x: over(x, sd(x[x < 0])) if (x < 0).any() else 0.0,
+        "max_drawdown": lambda x: np.maximum.accumulate(np.nan_to_num(x)) - x,
+        "cumsum": np.nancumsum, "cumprod": lambda x: np.cumprod(np.where(np.isnan(x), 1, x)),
+        "cummax": lambda x: np.maximum.accumulate(np.where(np.isnan(x), -np.inf, x)), "cummin": lambda x: np.minimum.accumulate(np.where(np.isnan(x), np.inf, x)),
+        "pct_change": change, "rank": order, "percentile": lambda x: order(x) / (len(x) - 1), "rank_pct": lambda x: order(x) / (len(x) - 1),
+        "demean": lambda x: x - mean(x), "zscore_cs": lambda x: scaled(x - mean(x), sd(x)),
+        **{n: lambda x: x / np.nansum(np.abs(x)) if np.nansum(np.abs(x)) > eps else np.zeros(len(x)) for n in ("normalize", "scale")},
+        "winsorize": lambda x: np.clip(x, q(x, 0.01), q(x, 0.99)), "cs_max": np.nanmax, "cs_min": np.nanmin, "cs_mean": mean, "cs_std": sd, "cs_median": np.nanmedian, "cs_sum": np.nansum, "cs_count_positive": lambda x: np.sum(x > 0),
+    }
+    two = {
+        "information_ratio": lambda x, y: over(x - y, sd(x - y)),
+        "corr": lambda x, y: cov(x, y) / (sd(x) * sd(y)) if sd(x) >= eps and sd(y) >= eps else 0.0,
+        "cov": cov,
+        "beta": slope,
+        "residual": lambda x, y: x - slope(x, y) * y - (mean(x) - slope(x, y) * mean(y)) if np.nanvar(y) >= eps else x,
+    }
+    assert len(one) + len(two) == sum(o.family.name in ("STATISTICAL", "CROSS_SECTIONAL") for o in C.operators)
+    calls = {n: f"{n}(a)" for n in one} | {n: f"{n}(a, b)" for n in two}
+    a, b = series(4)
+    flat = np.where(np.isnan(a), np.nan, 2.5)
+    for x, y in ((a, b), (flat, b), (a, flat), (np.abs(a) + 1, b)):
+        got = run(spark, calls, x, y)
+        for n, f in [*one.items(), *((n, lambda x, f=f: f(x, y)) for n, f in two.items())]:
+            np.testing.assert_allclose(got[n].to_numpy(float), np.broadcast_to(f(x), len(x)), atol=1e-9, err_msg=n)
+    # Without any value there is nothing but 0 or a missing value, which the root makes 0.
+    got = run(spark, calls, np.full(9, np.nan), b[:9], root=True)
+    rest = got[[n for n in calls if n not in ("rank", "percentile", "rank_pct", "cumprod", "cummax", "cummin")]]
+    assert (rest == 0).all().all() and (got["cumprod"] == 1).all() and (got["cummax"] == -1e9).all() and (got["cummin"] == 1e9).all() and got["rank"].tolist() == list(range(9))
+
+
 def test_recursive_and_guards(spark):
     x = np.random.default_rng(1).normal(size=3000)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "t int, a double")
