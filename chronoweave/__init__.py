@@ -14,6 +14,7 @@ _NAMES = {
     "plans.expression": "Call Const Expr Mutator Var grow grow_full parse",
     "plans.lookback": "lookback with_features_by_bucket with_features_in_blocks",
     "search.annealing": "AnnealingSchedule FeatureSearch SearchResult ols_scorer",
+    "search.discovery": "Discovery Found Settings",
     "search.guards": "OverfittingGuard inflation_factors rolling_r2",
     "search.models": "MODELS create",
     "search.scoring": "DualScorer mlp_scores ols_scores",

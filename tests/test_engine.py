@@ -13,6 +13,7 @@ from chronoweave.plans.compiler import SeriesFrame
 from chronoweave.plans.expression import Call, Const, Mutator, Var, grow, grow_full, leaf, parse
 from chronoweave.search import models
 from chronoweave.search.annealing import AnnealingSchedule, FeatureSearch, ols_scorer
+from chronoweave.search.discovery import Discovery, Settings
 from chronoweave.search.guards import OverfittingGuard, inflation_factors, rolling_r2
 from chronoweave.search.scoring import DualScorer, Mlp, expanding_cuts, expanding_splits, guard_cuts, guard_splits, mlp_scores, ols_scores
 from chronoweave.sources.datasets import DatasetLoader
@@ -298,6 +299,31 @@ def test_search(spark):
     assert math.isfinite(scores[0]) and scores[1] == -math.inf
 
 
+def test_discovery(spark, tmp_path):
+    (tmp_path / "settings.json").write_text('{"pool": 8, "elites": 2, "iterations": 1, "max_depth": 2, "candidates": 5, "features": 3, "top": 3, "stability_factor": 100, "look_ahead": false}')
+    settings = Settings.read(str(tmp_path / "settings.json"))
+    assert settings.stability_factor == 100.0 and Settings().pool == 500 and Settings().features == 30
+    for bad in ({"nope": 1}, {"pool": 1.5}, {"network": 1}, {"alpha": "x"}):
+        with pytest.raises(ValueError):
+            Settings.of(bad)
+    df = spark.range(600).select(F.col("id").alias("t"), F.sin(F.col("id") / 9).alias("x"), F.randn(3).alias("z"))
+    df = SeriesFrame(df, (), ("t",)).with_features({"y": "add(ts_mean_5(x), mul(z, 0.1))"}).cache()
+    discovery = Discovery(settings, seed=3)
+    assert not any(o.uses_future for o in discovery.catalogue.operators)
+    found = discovery.find(df, ["x", "z"], "y", (), ("t",))
+    assert 0 < len(found.features) <= 3 and all(math.isfinite(v) for v in found.scores.values())
+    assert set(found.removed.values()) <= {"vif", "stability", "validation"} and not set(found.removed) & set(found.features.values())
+    # Rows kept back decide nothing.
+    wild = df.withColumn("y", F.when(F.col("t") < 480, F.col("y")).otherwise(1e6))
+    assert discovery.find(wild, ["x", "z"], "y", (), ("t",)).features == found.features
+    found.to_df(spark).write.json(str(tmp_path / "found"))
+    again = {r.feature: parse(r.expr) for r in spark.read.json(str(tmp_path / "found")).collect()}
+    assert again == found.features
+    table, test = discovery.compare(df, {"m": "ts_mean_5(x)"}, ["z"], "y", (), ("t",), trees=10, depth=3)
+    by = {r["columns"]: r for r in table.collect()}
+    assert by["features"].mae < by["raw"].mae and test.preferred == "model_b"
+
+
 def test_metrics_and_models(spark, signal):
     same = spark.createDataFrame([(i, float(i), float(i), float(i) + (i % 3), float(i) - (i % 2)) for i in range(1, 60)], "t int, y double, p double, q double, r double")
     assert metrics.errors(same, "y", "p").first().asDict() == {"mae": 0.0, "rmse": 0.0, "mape": 0.0}
