@@ -300,7 +300,7 @@ def test_search(spark):
 
 
 def test_discovery(spark, tmp_path):
-    (tmp_path / "settings.json").write_text('{"pool": 8, "elites": 2, "iterations": 1, "max_depth": 2, "candidates": 5, "features": 3, "top": 3, "stability_factor": 100, "look_ahead": false}')
+    (tmp_path / "settings.json").write_text('{"pool": 12, "elites": 3, "iterations": 2, "max_depth": 2, "candidates": 6, "features": 3, "top": 3, "stability_factor": 100, "look_ahead": false}')
     settings = Settings.read(str(tmp_path / "settings.json"))
     assert settings.stability_factor == 100.0 and Settings().pool == 500 and Settings().features == 30
     for bad in ({"nope": 1}, {"pool": 1.5}, {"network": 1}, {"alpha": "x"}):
