@@ -9,11 +9,13 @@ before the full sets of the rest are compared exactly.
 Copies are folded first: documents with equal sets are one class, whose smallest
 id stands for it. Within a bucket of a band, each member is first compared with
 the bucket's smallest and largest ids, and linked ones are joined into components.
-Buckets that then still hold several components have all pairs between different
+Buckets that then still hold several components have the pairs between different
 components compared, so no pair of a bucket stays untested unless it is connected
-already, and large groups of copies never become all their pairs. Such a bucket is dealt
-to blocks of about `block` members, and each pair of blocks is a join key of its own, so
-that texts off one template that are not near each other don't meet in one task.
+already, and large groups of copies never become all their pairs. In a bucket of at most
+`block` members those are all pairs, at most `block` for each member. In a larger one, of
+texts off one template that mostly are not near each other, they are the pairs that their
+shingles leave possible (`possible`): a bound on the intersection of full sets, which
+drops no pair that reaches the threshold.
 
 Defaults: 32 bands of 4 minima; a pair at similarity 0.75 shares a bucket with
 probability 1 - 5e-6. The signatures are 1024 minima at two bits each, computed only for
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, is_empty, table
@@ -148,6 +150,30 @@ class NearDuplicates:
         shared = F.size(F.array_intersect("a", "b"))
         return cut(both.filter(100 * shared >= self.percent * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links")
 
+    def possible(self, crowd: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (u > v) of different components of ``crowd`` (id, c) whose sets may reach the
+        threshold, and the table that they are joined from.
+
+        Only shingles that two components share can be in an intersection. With those of a
+        set in one order for all sets, rarest first, an intersection that begins at a
+        shingle has at most the `rest` from there on in either set, which lets the other
+        set have up to `reach` shingles. A pair near enough keeps within both reaches at
+        its first common shingle, and the smaller of its sets within its own there: what no
+        set of the shingle can meet is left out before the join."""
+        p, by_t = self.percent, Window.partitionBy("t")
+        nodes = sets.select("id", "shingles", F.xxhash64("shingles").alias("s")).join(crowd, "id").dropDuplicates(["id", "s"])  # rows may repeat an id
+        tokens = nodes.select("id", "s", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+        shared = tokens.select("*", F.min("c").over(by_t).alias("c0"), F.max("c").over(by_t).alias("c1"), F.count("*").over(by_t).alias("df")).filter("c0 < c1")
+        rest = F.row_number().over(Window.partitionBy("id", "s").orderBy(F.col("df").desc(), F.col("t").desc()))
+        places = shared.select("id", "c", "n", "t", rest.alias("rest")).withColumn("reach", F.expr(f"(100 + {p}) * rest div {p} - n")).filter(f"100 * reach >= {p} * n")
+        bounds = places.select("*", F.min(F.expr("if(reach >= n, n, null)")).over(by_t).alias("low"), F.max("reach").over(by_t).alias("far")).filter("reach >= low and n <= far")
+        several = bounds.select("id", "c", "n", "t", "reach", F.min("c").over(by_t).alias("c0"), F.max("c").over(by_t).alias("c1")).filter("c0 < c1")
+        made = cut(several.select("id", "c", "n", "t", "reach"), "places")
+        x, y = (made.select("t", *(F.col(k).alias(k + side) for k in ("id", "c", "n", "reach"))) for side in "xy")
+        order = "cx <> cy and (nx < ny or nx = ny and idx < idy) and ny <= reachx and nx <= reachy"
+        pairs = x.filter("reachx >= nx").join(y, "t").filter(order)
+        return cut(pairs.select(F.greatest("idx", "idy").alias("u"), F.least("idx", "idy").alias("v")).distinct(), "possible"), made
+
     def classes(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -170,21 +196,26 @@ class NearDuplicates:
         links = self.links(stars, sets)
         comp = cut(components(links), "components")
 
-        # Buckets that still hold more than one component: every pair across, once. The
-        # members of a bucket are dealt to blocks, and a task compares two blocks.
+        # Buckets that still hold more than one component: every pair across, once.
         labelled = members.select("key", "band", "id").join(comp, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
         mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 < c1")
-        mixed = cut(mixed.select("key", F.ceil(F.col("n") / self.block).alias("blocks")), "mixed")
-        open_ = cut(labelled.join(mixed, "key").join(sets.select("id", "sig", "keys"), "id"), "open")
-        own, all_ = F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.expr("sequence(0, blocks - 1)"))
-        a = open_.select("key", "band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("sig").alias("su"), F.col("keys").alias("ku"), own.alias("i"), all_.alias("j"))
-        b = open_.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("sig").alias("sv"), F.col("keys").alias("kv"), all_.alias("i"), own.alias("j"))
+        mixed = cut(mixed.select("key", "n"), "mixed")
+        small, large = F.col("n") <= self.block, F.col("n") > self.block
+        open_ = cut(labelled.join(mixed.filter(small), "key").join(sets.select("id", "sig", "keys"), "id"), "open")
+        a = open_.select("key", "band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("sig").alias("su"), F.col("keys").alias("ku"))
+        b = open_.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("sig").alias("sv"), F.col("keys").alias("kv"))
         first = F.expr("band = 0 or not exists(sequence(0, band - 1), j -> ku[j] = kv[j])")
-        same = (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"])
-        cross = a.join(b, same & (F.col("cu") < F.col("cv")) & F.expr(self.near) & first).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        cross = a.join(b, (a["key"] == b["key"]) & (F.col("cu") < F.col("cv")) & F.expr(self.near) & first).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        crowd = cut(labelled.join(mixed.filter(large), "key").select("id", "c").distinct(), "crowd")
+        old = [crowd]
+        if not is_empty(crowd):
+            pairs, made = self.possible(crowd, sets)
+            old += [pairs, made]
+            pairs = pairs.join(sets.select(F.col("id").alias("u"), F.col("sig").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v")
+            cross = cross.union(pairs.filter(self.near).select("u", "v"))
         tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        cross = cut(cross.join(tried, ["u", "v"], "left_anti"), "cross")
-        old = [stars, members, shared, mixed, open_, cross, links, comp, rows, folded, sets]
+        cross = cut(cross.distinct().join(tried, ["u", "v"], "left_anti"), "cross")
+        old += [stars, members, shared, mixed, open_, cross, links, comp, rows, folded, sets]
         if not is_empty(cross):
             more = self.links(cross, sets)
             old.append(more)

@@ -224,6 +224,27 @@ def test_minhash_deals_buckets_to_blocks(spark):
         assert {r.doc_id: r.component_id for r in minhash.NearDuplicates(block=block).classes(docs).collect()} == want
 
 
+def test_minhash_compares_few_pairs_of_a_template(spark, monkeypatch):
+    """Half near a template, half a little below the threshold from them, two lengths, and
+    rows that repeat an id: the links of brute force, from few pairs."""
+    rng, template = random.Random(11), words(150, 78).split()
+    rows = [(i, " ".join([f"first{i}", *template[1 : 150 - i % 2]])) for i in range(150)]
+    for i in range(150, 300):
+        text = template[:]
+        for at in rng.sample(range(5, 140, 7), 5):
+            text[at] = f"slot{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, f"{t} end") for i, t in rows[::30]] + [(7, rows[200][1] + " end"), (7, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_near(rows)
+    made, cut = {}, minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df, label: made.setdefault(label, cut(df, label)) if label == "cross" else cut(df, label))
+    monkeypatch.setattr(minhash, "discard", lambda *cuts: None)
+    got = {r.doc_id: r.component_id for r in minhash.NearDuplicates().classes(docs).collect()}
+    assert got == want and 10 < len(set(got.values())) < len(want)
+    assert made["cross"].count() < 10 * len(rows)
+
+
 def test_estimate_follows_similarity(spark):
     sk = minhash.Sketcher()
     a = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000, np.uint64))
